@@ -58,8 +58,8 @@ _V = f"(?:{_alternatives(VOWEL_PAIRS)}|[{VOWELS}])"
 _T = f"(?:{_alternatives(FINAL_PAIRS)}|[{INITIALS}])(?![{VOWELS}])"
 # A syllable: optional initial, vowel (pairs first), optional final that is not the
 # next syllable's initial. The regex engine's backtracking gives the look-ahead rule
-# "a final moves on before a vowel". Anything else is a chunk of one character.
-_CHUNK = f"(?s)[{INITIALS}]?{_V}(?:{_T})?|."
+# "a final moves on before a vowel". Runs without jamo stay whole, lone initials alone.
+_CHUNK = f"(?s)[{INITIALS}]?{_V}(?:{_T})?|[^{INITIALS}{VOWELS}]+|."
 
 
 def _lookup(table: dict[str, int], key: Column) -> Column:

@@ -3,7 +3,8 @@ them stay inside the JVM and inside whole-stage code generation."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,11 @@ def lit_of(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` over a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column | str) -> Column:
     """Trim every Unicode white-space character (Spark's trim knows U+0020 only)."""
     return F.regexp_replace(col_of(col), f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
@@ -143,10 +149,8 @@ def map_category(name: Column | str, rules=CATEGORY_RULES, default: str = CATEGO
 
 def normalize_category(col: Column | str) -> Column:
     value = F.upper(strip(F.coalesce(col_of(col), F.lit(""))))
-    out = value
-    for alias, category in CATEGORY_ALIASES.items():
-        out = F.when(value == alias, F.lit(category)).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for pair in CATEGORY_ALIASES.items() for x in pair])
+    return let(value, lambda v: F.coalesce(F.element_at(known, v), v))
 
 
 def normalize_ext(col: Column | str) -> Column:
@@ -197,15 +201,16 @@ def preview(col: Column | str, n: int = 120, ellipsis: str = "") -> Column:
 def audit_sql(col: Column | str) -> Column:
     """Struct(ok, reason) for a source query: one comment-free SELECT without any
     of the forbidden fragments."""
-    text = strip(F.coalesce(col_of(col), F.lit("")))
-    bare = F.lower(strip(F.regexp_replace(text, r"(?md)--.*?$", "")))
-    bad = F.lit(False)
-    for token in FORBIDDEN_SQL:
-        bad = bad | bare.contains(token)
-    reason = (
-        F.when(text == "", "empty")
-        .when(~bare.startswith("select"), "not_select")
-        .when(bad, "forbidden")
-        .otherwise("ok")
-    )
-    return F.struct((reason == "ok").alias("ok"), reason.alias("reason"))
+    bad = "|".join(re.escape(token) for token in FORBIDDEN_SQL)
+
+    def verdict(bare: Column) -> Column:
+        reason = (
+            F.when(bare == "", "empty")
+            .when(~bare.startswith("select"), "not_select")
+            .when(bare.rlike(bad), "forbidden")
+            .otherwise("ok")
+        )
+        return F.struct((reason == "ok").alias("ok"), reason.alias("reason"))
+
+    bare = F.regexp_replace(strip(F.coalesce(col_of(col), F.lit(""))), r"(?md)--.*?$", "")
+    return let(F.lower(strip(bare)), verdict)

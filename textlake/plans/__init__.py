@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("querylog",)
+FAMILIES = ("querylog", "texts", "corpus")
 
 
 def load() -> None:
