@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("querylog", "texts", "corpus")
+FAMILIES = ("querylog", "texts", "corpus", "search")
 
 
 def load() -> None:

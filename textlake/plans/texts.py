@@ -238,17 +238,20 @@ def b16(t: Tables) -> DataFrame:
     return out.select("qid", F.array_join("target_keywords", "|").alias("target_keywords"))
 
 
-# jamo composition of a short column, reusing the piecewise form above
-PREPARED = dict(
-    asked=f"select qid, {sanitize('query')} as original_query from name_queries",
-    **rewrite_ctes("asked", "original_query"),
-    cleaned=f"""select *, case when coalesce(nullif(normalized, ''), original_query) = original_query
+def prepared_ctes(source: str) -> dict[str, str]:
+    """Prepared requests (`ready`: final, clean, original_query, raw_expanded) of a
+    table with qid and query."""
+    return dict(
+        asked=f"select * exclude (query), {sanitize('query')} as original_query from {source}",
+        **rewrite_ctes("asked", "original_query"),
+        cleaned=f"""select *, case when coalesce(nullif(normalized, ''), original_query) = original_query
   then {typos_sql('trim(original_query)')} else normalized end as clean from rewritten""",
-    typed="select qid as doc_id, clean as text from cleaned where regexp_full_match(clean, '[ㄱ-ㅎㅏ-ㅣ| ]+')",
-    composed=JAMO_SQL.replace(jamo_sql("text"), "text").replace("from documents", "from typed"),
-    ready="""select c.*, case when k.composed is not null and regexp_matches(k.composed, '[가-힣]') then k.composed else c.clean end as final
+        # jamo composition of a short column, reusing the piecewise form above
+        typed="select qid as doc_id, clean as text from cleaned where regexp_full_match(clean, '[ㄱ-ㅎㅏ-ㅣ| ]+')",
+        composed=JAMO_SQL.replace(jamo_sql("text"), "text").replace("from documents", "from typed"),
+        ready="""select c.*, case when k.composed is not null and regexp_matches(k.composed, '[가-힣]') then k.composed else c.clean end as final
 from cleaned c left join composed k on k.doc_id = c.qid""",
-)
+    )
 
 
 @query("b17_prepare_queries", sql(f"""
@@ -257,7 +260,7 @@ select qid, original_query, final as corrected_query, clean <> original_query as
   regexp_full_match(trim(final), '[가-힣]+') and not regexp_matches(final, '{HINTS}') as is_name_like,
   array_to_string(list_filter(list_concat([final], {STATIC_SQL.format(q='final')}, {ordered_distinct('raw_expanded')}),
     lambda k: k <> ''), '|') as target_keywords
-from ready""", "name_queries", "dictionary", **PREPARED))
+from ready""", "name_queries", "dictionary", **prepared_ctes("name_queries")))
 def b17(t: Tables) -> DataFrame:
     dictionary = upsert_dictionary(None, t.raw_dictionary, "row_no")
     out = rw.prepare_queries(t.name_queries, dictionary, synonyms=PART_SYNONYMS)
