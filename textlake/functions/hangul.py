@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WHITESPACE, col_of, strip, windows_of
+from .text import WHITESPACE, col_of, let, strip, windows_of
 
 # ---------------------------------------------------------------- fixed values
 # Unicode order of Hangul jamo: a syllable is 0xAC00 + (initial*21 + vowel)*28 + final.
@@ -102,8 +102,9 @@ def is_chosung_query(col: Column | str) -> Column:
 
 def is_name_like(col: Column | str) -> Column:
     """One all-Hangul word without any of the domain words."""
-    q = strip(F.coalesce(col_of(col), F.lit("")))
-    return q.rlike("^[가-힣]+$") & ~q.rlike(_alternatives(DOMAIN_HINTS))
+    return let(
+        strip(F.coalesce(col_of(col), F.lit(""))),
+        lambda q: q.rlike("^[가-힣]+$") & ~q.rlike(_alternatives(DOMAIN_HINTS)))
 
 
 def classify_query(col: Column | str) -> Column:
@@ -117,9 +118,10 @@ def classify_query(col: Column | str) -> Column:
 
 def restore_jamo(col: Column | str) -> Column:
     """Composed form of a jamo-only query when that yields a syllable, else the query."""
-    q = col_of(col)
-    composed = compose_jamo(q)
-    return F.when(is_jamo_query(q) & composed.rlike("[가-힣]"), composed).otherwise(q)
+    def restored(q: Column) -> Column:
+        return let(F.when(is_jamo_query(q), compose_jamo(q)), lambda c: F.when(c.rlike("[가-힣]"), c).otherwise(q))
+
+    return let(col_of(col), restored)
 
 
 def chosung_tokens(col: Column | str) -> Column:

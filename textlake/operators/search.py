@@ -17,6 +17,7 @@ from ..functions.highlight import (
 )
 from ..functions.rewrite import STATIC_SYNONYMS, prepare_queries
 from ..functions.text import ext_for_stats, sanitize, strip, windows_of
+from ..session import materialize
 from . import filters as fl
 from .postings import (
     DEFAULT_ANALYZER,
@@ -131,13 +132,13 @@ def hybrid_hits(requests: DataFrame, docs: DataFrame, dictionary: DataFrame,
     config = config or SearchConfig()
     index = index or build_index(docs)
     weights = config.weights
-    prepared = prepare_queries(requests, dictionary, synonyms=config.synonyms)
+    prepared = materialize(prepare_queries(requests, dictionary, synonyms=config.synonyms), "requests")
     targets = _keyword_table(prepared)
-    includes = fl.keyword_rows(requests, "include_keywords", "i")
-    excludes = fl.keyword_rows(requests, "exclude_keywords", "e")
+    includes = fl.keyword_rows(prepared, "include_keywords", "i")
+    excludes = fl.keyword_rows(prepared, "exclude_keywords", "e")
     plain = targets.filter(~F.col("is_chosung")).drop("is_chosung")
     every = plain.unionByName(includes).unionByName(excludes)
-    matches = match_keywords(index, keyword_terms(every, index.analyzer))
+    matches = materialize(match_keywords(index, keyword_terms(every, index.analyzer)), "matches")
     role = F.substring("kid", 1, 1)
     phrases = matches.filter(F.col("phrase_tf") > 0)
     lexical = combine_clauses(matches.filter(role == "t"), weights)
@@ -165,7 +166,7 @@ def hybrid_hits(requests: DataFrame, docs: DataFrame, dictionary: DataFrame,
     )
     hits = fl.min_score(hits, weights["min_score"], F.col("_floor")).drop(
         "_category", "_ext", "start_date", "end_date", "_floor")
-    hits = fl.with_exact(hits, docs)
+    hits = fl.with_exact(materialize(hits, "hits"), docs)
     return fl.require_exact_names(fl.prefer_exact(hits))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,3 +44,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make DataFrame.checkpoint() usable, in the cluster's own folder where set."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result once, to the shared folder, and read it back. Used
+    where several branches of one job need it: it cuts the plan, survives the loss of
+    executors, and gives the planner real sizes for its join choices."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
