@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import windows_of
+from ..session import materialize
 
 # ---------------------------------------------------------------- fixed values
 STOPWORDS = ("에", "대해서", "해주세요", "알려주세요", "의", "를", "은", "는")
@@ -145,11 +146,14 @@ def _occurrences(index: Index, terms: DataFrame) -> DataFrame:
     if "term_bucket" in index.postings.columns:
         vocabulary = vocabulary.withColumn("term_bucket", term_bucket(F.col("term")))
         keys = ["term_bucket", "term"]
-    return (
+    found = (
         index.postings.join(vocabulary, keys, "left_semi")
         .groupBy("field", "term", "doc_id")
         .agg(F.count("*").alias("tf"), F.max("dl").alias("dl"), F.collect_list("pos").alias("positions"))
     )
+    # read three times below (document frequencies, candidates, look-ups): the corpus
+    # is tokenised once, and the joins are planned with the real size
+    return materialize(found, "occurrences")
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -161,9 +165,7 @@ def tf_norm(tf: Column, dl: Column, avgdl: Column) -> Column:
 
 
 def _with_df(occurrences: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
-    # counted over the same columns as the match below, so that both read one exchange
-    counted = F.count_if((F.col("tf") > 0) & (F.col("dl") > 0) & (F.size("positions") > 0))
-    df = occurrences.groupBy("field", "term").agg(counted.alias("df"))
+    df = occurrences.groupBy("field", "term").agg(F.count("*").alias("df"))
     return terms.join(df, "term").withColumn("idf", idf(index.stat("n_docs"), F.col("df")))
 
 

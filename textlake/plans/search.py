@@ -59,7 +59,7 @@ def _keywords(t: Tables) -> DataFrame:
 
 
 @query("d1_build_postings", sql("""
-select field, term, count(*) as occurrences, count(distinct doc_id) as df, sum(pos) as pos_sum, max(dl) as max_dl
+select field, term, count(*) as occurrences, count(distinct doc_id) as df, sum(pos)::bigint as pos_sum, max(dl) as max_dl
 from post group by 1, 2""", "docs", **POSTINGS))
 def d1(t: Tables) -> DataFrame:
     return po.build_postings(t.docs).groupBy("field", "term").agg(
