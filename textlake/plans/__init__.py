@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("querylog", "texts", "corpus", "search")
+FAMILIES = ("querylog", "texts", "corpus", "search", "ops", "evaluation", "streams")
 
 
 def load() -> None:

@@ -157,13 +157,13 @@ select 'index-' || cast(n_nationkey as varchar) as index_name, 'alias-' || cast(
 _cte("schedules", """
 select *, case when interval_minutes % 5 <> 0 then last_run_at + to_minutes(interval_minutes) end as next_run_at from (
   select 'smb' as source_type, s_suppkey as source_id, cast(60 + s_suppkey % 24 as bigint) as interval_minutes,
-    s_acctbal < 8000 as is_enabled, timestamp '2024-01-29' + to_minutes(s_suppkey % 2880) as last_run_at
-  from supplier where s_acctbal > 500
+    s_acctbal < 5000 as is_enabled, timestamp '2024-01-29' + to_minutes(s_suppkey % 2880) as last_run_at
+  from supplier where s_acctbal between 500 and 6000
   union all
-  select 'db', c_custkey, cast(60 + c_custkey % 24 as bigint), c_acctbal < 8000, timestamp '2024-01-29' + to_minutes(c_custkey % 2880)
-  from customer where c_acctbal > 500
+  select 'db', c_custkey, cast(60 + c_custkey % 24 as bigint), c_acctbal < 5000, timestamp '2024-01-29' + to_minutes(c_custkey % 2880)
+  from customer where c_acctbal between 500 and 6000
   union all
-  select 'smb', s_suppkey + 1000000000, cast(60 + s_suppkey % 24 as bigint), s_acctbal < 8000, timestamp '2024-01-29' + to_minutes(s_suppkey % 2880)
+  select 'smb', s_suppkey + 1000000000, cast(60 + s_suppkey % 24 as bigint), s_acctbal < 5000, timestamp '2024-01-29' + to_minutes(s_suppkey % 2880)
   from supplier where s_acctbal > 7000)""")
 
 _cte("certificates", """

@@ -230,17 +230,16 @@ class Tables:
 
     @cached_property
     def schedules(self) -> DataFrame:
-        """Schedules of the better-funded sources, and of sources since deleted."""
+        """Schedules of sources with a middling balance, and of sources since deleted."""
         def entries(kind: str, frame: DataFrame, key: str, balance: str, shift: Column) -> DataFrame:
-            return frame.filter(F.col(balance) > 500).select(
+            return frame.filter(F.col(balance).between(500, 6000) | (F.col(key) + shift >= 10**9)).select(
                 F.lit(kind).alias("source_type"),
                 (F.col(key) + shift).alias("source_id"),
                 (F.lit(60) + F.col(key) % 24).cast("int").alias("interval_minutes"),
-                (F.col(balance) < 8000).alias("is_enabled"),
+                (F.col(balance) < 5000).alias("is_enabled"),
                 F.timestamp_add("MINUTE", F.col(key) % 2880, F.lit("2024-01-29").cast("timestamp")).alias("last_run_at"),
             )
 
-        # sources 0..n keep their number; every rich one also has a stale twin
         smb = entries("smb", self("supplier"), "s_suppkey", "s_acctbal", F.lit(0))
         db = entries("db", self("customer"), "c_custkey", "c_acctbal", F.lit(0))
         stale = entries("smb", self("supplier").filter(F.col("s_acctbal") > 7000), "s_suppkey", "s_acctbal", F.lit(10**9))
