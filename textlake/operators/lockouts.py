@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -72,7 +72,7 @@ def lockouts(events: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, Attempts()
         for batch in batches:
-            seconds = batch["ts"].astype("int64") / 10**9
+            seconds = batch["ts"].astype("datetime64[ns]").astype("int64") / 10**9
             outcomes, until = [], []
             for key, piece, now, success in zip(
                     batch["user_key"], batch["piece"], seconds, batch["success"], strict=True):
@@ -90,8 +90,6 @@ def lockouts(events: DataFrame) -> DataFrame:
 def last_value(df: DataFrame, key: str, ts: str, tie: str, column: str, name: str, bucket: str = "day") -> DataFrame:
     """Adds the latest non-null `column` up to each row, bucket-wise like
     `previous_value`: one row per (key, bucket) crosses bucket borders."""
-    from pyspark.sql import Window
-
     cut = df.withColumn("_b", F.date_trunc(bucket, ts))
     inside = Window.partitionBy(key, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
     lasts = cut.groupBy(key, "_b").agg(F.max(column).alias("_l"))

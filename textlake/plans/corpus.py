@@ -25,6 +25,12 @@ def a3(t: Tables) -> DataFrame:
     return rows_to_documents(rows, "parts", "title", ["p_brand", "p_partkey"])
 
 
+@query("a4_read_files")
+def a4(t: Tables) -> DataFrame:
+    """The stored tables' own files."""
+    return fi.read_files(t.spark, t.directory, ["parquet"]).select("file_name", "file_ext", "length")
+
+
 @query("a5_decode_text", "select doc_id, text from documents")
 def a5(t: Tables) -> DataFrame:
     bom, utf8 = F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")
