@@ -250,11 +250,12 @@ def test_cjk_bigrams(spark):
     assert [r.qid for r in po.match_phrase(index, keywords).collect()] == [1]
 
 
+@pytest.mark.parametrize("pack_limit", [0, 1000])
 @pytest.mark.parametrize("mode", se.CHOSUNG_MODES)
-def test_chosung_modes(spark, mode):
+def test_chosung_modes(spark, mode, pack_limit):
     docs = spark.createDataFrame([(1, "가나 다라"), (2, "가나다")], ["doc_id", "all_text"])
     rows = [(1, "k", "ㄱㄴㄷ"), (2, "k", "ㄱㄴ ㄷ"), (3, "k", "ㄷ")]
-    got = {(r.qid, r.doc_id) for r in se.match_chosung(spark.createDataFrame(rows, ["qid", "kid", "keyword"]), docs, mode).collect()}
+    got = {(r.qid, r.doc_id) for r in se.match_chosung(spark.createDataFrame(rows, ["qid", "kid", "keyword"]), docs, mode, pack_limit=pack_limit).collect()}
     wildcard, ngram = {(1, 2), (3, 1), (3, 2)}, {(1, 1), (1, 2), (2, 1), (2, 2)}
     assert got == {"wildcard": wildcard, "ngram": ngram, "hybrid": wildcard | ngram}[mode]
 
@@ -264,7 +265,8 @@ def test_chosung_longer_than_twenty(spark):
     docs = spark.createDataFrame([(1, body), (2, body[:21])], ["doc_id", "all_text"])
     chosung = "ㄱㄴㄷㄹㅁㅂㅅㅇㅈㅊㅋㅌㅍㅎㄱㄷㄴㅁㄹㅅㅂㅈㅇ"
     rows = spark.createDataFrame([(1, "k", chosung)], ["qid", "kid", "keyword"])
-    assert [r.doc_id for r in se.match_chosung(rows, docs, "ngram").collect()] == [1]
+    for pack_limit in (0, 1000):
+        assert [r.doc_id for r in se.match_chosung(rows, docs, "ngram", pack_limit=pack_limit).collect()] == [1]
 
 
 def test_autocomplete(spark):

@@ -16,7 +16,7 @@ from ..functions.highlight import (
     highlight_chosung,
 )
 from ..functions.rewrite import STATIC_SYNONYMS, prepare_queries
-from ..functions.text import ext_for_stats, sanitize, strip, windows_of
+from ..functions.text import ext_for_stats, let, sanitize, strip, windows_of
 from ..session import materialize
 from . import filters as fl
 from .postings import (
@@ -49,6 +49,7 @@ UNKNOWN_RANK = 10_000
 # ------------------------------------------------------------------------------
 CHOSUNG_MODES = ("wildcard", "ngram", "hybrid")
 ANCHOR_MAX = 3
+PACK_LIMIT = 1000
 
 
 @dataclass(frozen=True)
@@ -79,38 +80,61 @@ def _anchors(body: Column) -> Column:
     return F.array_distinct(F.flatten(F.array(*[windows_of(body, n) for n in range(1, ANCHOR_MAX + 1)])))
 
 
+def _chosung_points(mode: str, raw: Column, flat: Column, c_text: Column, flat_text: Column) -> Column:
+    """Number of matching clauses of a mode for one keyword and one text."""
+    grams = F.when(F.length(flat) <= 20, F.array(flat)).otherwise(windows_of(flat, 20))
+    wildcard = (~raw.contains(" ") & c_text.contains(raw)).cast("int")
+    ngram = ((F.length(flat) >= 2) & F.forall(grams, lambda g: flat_text.contains(g))).cast("int")
+    return {"wildcard": wildcard, "ngram": ngram, "hybrid": wildcard + ngram}[mode]
+
+
 def match_chosung(keywords: DataFrame, docs: DataFrame, mode: str = "wildcard",
-                  boost: float = WEIGHTS["chosung"], text_col: str = "all_text") -> DataFrame:
+                  boost: float = WEIGHTS["chosung"], text_col: str = "all_text",
+                  pack_limit: int = PACK_LIMIT) -> DataFrame:
     """(qid, kid, doc_id, score) of chosung keywords against the chosung form of a text.
 
     wildcard: the keyword lies inside one white-space token (so one with a space never
     matches). ngram: all 2..20-grams of the space-free keyword occur in the space-free
     text, which for up to 20 characters is containment. hybrid: either, summed.
 
-    Candidates come from an equi-join on the keyword's first characters; the containment
-    test then reads each candidate's text once."""
+    Up to `pack_limit` keywords (counted first) travel to the scan as one value, and
+    every text is tested where it is read, without a shuffle. More keywords meet the
+    texts in an equi-join on their first characters, and each candidate's text is then
+    tested once."""
     if mode not in CHOSUNG_MODES:
         raise ValueError(f"unknown mode {mode}")
     wanted = keywords.select(
         "qid", "kid", strip("keyword").alias("raw"),
         F.lower(F.replace(strip("keyword"), F.lit(" "), F.lit(""))).alias("flat"),
-    ).filter(F.col("flat") != "").withColumn("anchor", F.substring("flat", 1, ANCHOR_MAX))
+    ).filter(F.col("flat") != "")
     forms = docs.select("doc_id", to_chosung(text_col).alias("c_text"))
-    flat = F.lower(F.replace("c_text", F.lit(" "), F.lit("")))
+
+    def flat_of(c: Column) -> Column:
+        return F.lower(F.replace(c, F.lit(" "), F.lit("")))
+
+    n = wanted.limit(pack_limit + 1).count()
+    if n <= pack_limit:
+        scored_by = lambda f: F.filter(
+            F.transform("_wanted", lambda w: F.struct(
+                w["qid"].alias("qid"), w["kid"].alias("kid"),
+                (_chosung_points(mode, w["raw"], w["flat"], f["c"], f["f"]) * F.lit(float(boost))).alias("score"))),
+            lambda s: s["score"] > 0)
+        pack = wanted.agg(F.collect_list(F.struct("qid", "kid", "raw", "flat")).alias("w")).scalar()
+        scan = docs if n else docs.limit(0)
+        text = let(to_chosung(text_col), lambda c: F.struct(c.alias("c"), flat_of(c).alias("f")))
+        return (
+            scan.withColumn("_wanted", pack).select("doc_id", F.explode(let(text, scored_by)).alias("m"))
+            .select("m.qid", "m.kid", "doc_id", "m.score")
+        )
+    anchored = wanted.withColumn("anchor", F.substring("flat", 1, ANCHOR_MAX))
     candidates = (
-        forms.select("doc_id", F.explode(_anchors(flat)).alias("anchor"))
-        .join(wanted, "anchor").drop("anchor")
+        forms.select("doc_id", F.explode(_anchors(flat_of(F.col("c_text")))).alias("anchor"))
+        .join(anchored, "anchor").drop("anchor")
     )
-    tested = candidates.join(forms, "doc_id")
-    grams = F.when(F.length("flat") <= 20, F.array("flat")).otherwise(windows_of(F.col("flat"), 20))
-    wildcard = ~F.col("raw").contains(" ") & F.col("c_text").contains(F.col("raw"))
-    ngram = (F.length("flat") >= 2) & F.forall(grams, lambda g: F.col("_flat").contains(g))
-    points = {
-        "wildcard": wildcard.cast("int"), "ngram": ngram.cast("int"),
-        "hybrid": wildcard.cast("int") + ngram.cast("int"),
-    }[mode]
+    points = _chosung_points(mode, F.col("raw"), F.col("flat"), F.col("c_text"), F.col("_flat"))
     return (
-        tested.withColumn("_flat", flat).withColumn("score", points * F.lit(float(boost)))
+        candidates.join(forms, "doc_id").withColumn("_flat", flat_of(F.col("c_text")))
+        .withColumn("score", points * F.lit(float(boost)))
         .filter(F.col("score") > 0).select("qid", "kid", "doc_id", "score")
     )
 

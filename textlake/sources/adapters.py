@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import map_category
-from .tables import read_table
+from .tables import read_table, spread
 
 AS_OF = "2024-01-31 00:00:00"
 EXTENSIONS = ("pdf", "docx", "xlsx", "pptx", "txt")
@@ -21,6 +21,8 @@ TEXT_RULES = (
     ("REPORT", ("ment", "report")),
     ("RULE", ("ung", "rule")),
 )
+# tables whose rows are long texts, with their keys
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
 # Latin letters a..z as Hangul syllables, and as the jamo on the same keys of a
 # two-set keyboard: the stored texts hold no Hangul
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -42,7 +44,8 @@ class Tables:
         self.directory = directory
 
     def __call__(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.directory, name)
+        table = read_table(self.spark, self.directory, name)
+        return spread(table, TEXT_KEYS[name]) if name in TEXT_KEYS else table
 
     @cached_property
     def logs(self) -> DataFrame:
