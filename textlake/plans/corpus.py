@@ -216,7 +216,7 @@ def a15_rows(t: Tables) -> DataFrame:
 
 
 @query("b28_embed", """
-select doc_id, round(length(h) - length(replace(h, 'e', '')), 4) as e, round(length(h)::double, 4) as n
+select doc_id, (length(h) - length(replace(h, 'e', '')))::double as e, round(length(h)::double, 4) as n
 from (select doc_id, left(text, 2000) as h from documents)""")
 def b28(t: Tables) -> DataFrame:
     def load_model():
