@@ -128,7 +128,7 @@ def content_digest(text: Column | str, filename: Column | str) -> Column:
         return F.regexp_replace(c, "[^가-힣a-zA-Z0-9]", "")
     head = core(F.substring(F.coalesce(col_of(text), F.lit("")), 1, 500))
     name = core(F.coalesce(col_of(filename), F.lit("")))
-    return F.sha2(F.when(head != "", head).otherwise(name), 256)
+    return F.sha2(let(head, lambda h: F.when(h != "", h).otherwise(name)), 256)
 
 
 def byte_digest(content: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as co
 from ..operators.dictionary import ingest_dictionary, upsert_dictionary
+from ..session import materialize
 from ..sources import files as fi
 from ..sources.adapters import AS_OF, TEXT_RULES, Tables
 from ..sources.sql import rows_to_documents
@@ -233,7 +234,7 @@ def d13(t: Tables) -> DataFrame:
     raw = _raw(t).select(
         "in_id", co.sanitize("file_name").alias("title"), co.sanitize("text").alias("all_text"),
         F.sha2("content", 256).alias("content_hash"))
-    usable = raw.filter((F.col("all_text") != "") & F.col("title").endswith(".txt"))
+    usable = materialize(raw, "incoming").filter((F.col("all_text") != "") & F.col("title").endswith(".txt"))
     return co.find_duplicates(usable.withColumn("legacy_hash", co.content_digest("all_text", "title")), _existing(t))
 
 
