@@ -76,8 +76,9 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
 
 
 class Model:
-    """One suffix automaton per language, completed for parsing: where a phrase cannot
-    be prolonged the arc is marked and leads to where the next phrase starts."""
+    """One suffix automaton per language, completed for parsing: an arc that opens a
+    phrase is marked. Where a phrase cannot be prolonged, the arc leads to where the next
+    one goes on after its first symbol; a symbol the sample lacks is a phrase alone."""
 
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.languages = sorted(samples)
@@ -92,6 +93,7 @@ class Model:
             step = suffix_automaton(run.tolist(), WIDTH).astype(np.int64)
             first = np.where(step[0] < 0, 0, step[0])
             full = np.where(step < 0, first * WIDTH + base + int(TOP), step * WIDTH + base)
+            full[0] = first * WIDTH + base + int(TOP)  # at the start every symbol opens a phrase
             tables.append(full.astype(np.uint32).ravel())
             roots.append(base)
             bits.append(np.log2(len(run) + 1) if len(run) else np.inf)
@@ -114,7 +116,7 @@ class Model:
         """Bits per symbol of each text (columns) under each language (rows)."""
         owner, start, length = lanes.cut(starts, lengths, LANE)
         marks = lanes.count_marks(symbols, start, length, self.table, self.roots)
-        phrases = np.stack([np.bincount(owner, row + 1.0, len(starts)) for row in marks])
+        phrases = np.stack([np.bincount(owner, row, len(starts)) for row in marks])
         return phrases * self.bits[:, None] / np.maximum(lengths, 1)
 
 
