@@ -51,7 +51,8 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 def remainder(doc_id: Column | str, n: int) -> Column:
     """CRC-32 of the id written as text, modulo n. A null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % n
+    key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
 def folder(spark: SparkSession, label: str) -> str:

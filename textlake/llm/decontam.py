@@ -50,7 +50,7 @@ class Hits:
         words = plain.split()
         self.n_words = len(words)
         self.items: set[int] = set()
-        self.spans: list[tuple[int, int]] = []
+        self.spans: list[tuple[int, int, int, int]] = []
         self.n_hit = 0
         if not words or not len(automaton):
             return
@@ -71,7 +71,19 @@ class Hits:
         data = np.frombuffer(plain, np.uint8) != 32
         edge = np.flatnonzero(np.diff(np.concatenate([[False], data, [False]]).astype(np.int8)))
         turns = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
-        self.spans = [(int(edge[2 * a]), int(edge[2 * b - 1])) for a, b in zip(turns[::2], turns[1::2], strict=True)]
+        self.spans = [(int(a), int(b), int(edge[2 * a]), int(edge[2 * b - 1]))
+                      for a, b in zip(turns[::2], turns[1::2], strict=True)]
+
+
+def join_spans(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The stretches of words that the given ones cover together."""
+    out: list[list[int]] = []
+    for a, b, c, d in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1], out[-1][3] = max(out[-1][1], b), max(out[-1][3], d)
+        else:
+            out.append([a, b, c, d])
+    return [tuple(x) for x in out]
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
@@ -82,7 +94,14 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) for k in range(count)]
 
 
-SCHEMA = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<first:bigint,last:bigint>>"
+SCHEMA = ("n_words bigint, n_hit bigint, items array<string>, "
+          "spans array<struct<word:bigint,end_word:bigint,first:bigint,last:bigint>>")
+FIELDS = ("word", "end_word", "first", "last")
+SPANS = pa.list_(pa.struct([(f, pa.int64()) for f in FIELDS]))
+
+
+def span_column(spans: list[list[tuple[int, int, int, int]]]) -> pa.Array:
+    return pa.array([[dict(zip(FIELDS, s, strict=True)) for s in own] for own in spans], SPANS)
 
 
 def scan(docs: DataFrame, items: list[tuple[str, bytes | None]], size: int) -> DataFrame:
@@ -98,8 +117,7 @@ def scan(docs: DataFrame, items: list[tuple[str, bytes | None]], size: int) -> D
                 [part.column("row"), part.column("doc_id"), pa.array([h.n_words for h in hits], pa.int64()),
                  pa.array([h.n_hit for h in hits], pa.int64()),
                  pa.array([sorted({names[i] for i in h.items}) for h in hits], pa.list_(pa.string())),
-                 pa.array([[{"first": a, "last": b} for a, b in h.spans] for h in hits],
-                          pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))],
+                 span_column([h.spans for h in hits])],
                 names=["row", "doc_id", "n_words", "n_hit", "items", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -111,7 +129,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     """(doc_id, n_words, n_hit, items, spans) for every row of `docs`.
 
     items are the ids, as sorted strings, of benchmark items with a window in the text;
-    spans are the hit stretches as byte offsets of the original UTF-8 text. The items of
+    spans are the hit stretches, as word numbers and as byte offsets of the original
+    UTF-8 text, the last ones excluded. The items of
     a block travel to every task; their bytes are bounded by `block_bytes`, a larger
     benchmark is scanned block by block, each result written out before the next. A null
     or wordless text has no words and no hits; items without words, or null, occur
@@ -133,4 +152,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
         F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.flatten(F.collect_list("spans")).alias("spans"))
-    return merged
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [join_spans([tuple(s[f] for f in FIELDS) for s in own]) for own in b.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("n_words"), pa.array([sum(s[1] - s[0] for s in own) for own in spans], pa.int64()),
+                 b.column("items"), span_column(spans)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return merged.mapInArrow(join, f"doc_id {kind}, {SCHEMA}")
