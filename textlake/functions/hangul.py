@@ -122,8 +122,3 @@ def restore_jamo(col: Column | str) -> Column:
         return let(F.when(is_jamo_query(q), compose_jamo(q)), lambda c: F.when(c.rlike("[가-힣]"), c).otherwise(q))
 
     return let(col_of(col), restored)
-
-
-def chosung_tokens(col: Column | str) -> Column:
-    """White-space tokens of the chosung form."""
-    return F.filter(F.split(to_chosung(col), f"[{WHITESPACE}]+"), lambda x: x != "")

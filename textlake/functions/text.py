@@ -180,7 +180,8 @@ def token_set(col: Column | str) -> Column:
 
 def windows_of(col: Column, n: int) -> Column:
     """All n-character windows of a string in order, in one linear pass."""
-    return F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    # the dot behind the look-ahead moves on by one character, also beyond the BMP
+    return F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def char_ngrams(col: Column | str, n: int = 2) -> Column:

@@ -95,7 +95,9 @@ def last_value(df: DataFrame, key: str, ts: str, tie: str, column: str, name: st
     lasts = cut.groupBy(key, "_b").agg(F.max(column).alias("_l"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = lasts.select(key, "_b", F.last("_l", ignorenulls=True).over(before).alias("_c"))
+    seen = cut.withColumn("_s", F.last(column, ignorenulls=True).over(inside))
+    other = carried.select(F.col(key).alias("_k2"), F.col("_b").alias("_b2"), "_c")
     return (
-        cut.withColumn("_s", F.last(column, ignorenulls=True).over(inside)).join(carried, [key, "_b"])
-        .withColumn(name, F.coalesce("_s", "_c")).drop("_b", "_s", "_c")
+        seen.join(other, seen[key].eqNullSafe(other["_k2"]) & seen["_b"].eqNullSafe(other["_b2"]))
+        .withColumn(name, F.coalesce("_s", "_c")).drop("_b", "_s", "_c", "_k2", "_b2")
     )

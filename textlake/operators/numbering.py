@@ -4,29 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 
-def number_rows(df: DataFrame, order_by: Sequence[str], name: str = "n", slices: int = 200) -> DataFrame:
+
+def number_rows(df: DataFrame, order_by: Sequence[str], name: str = "n", slices: int | None = None,
+                rows_per_slice: int = 500_000) -> DataFrame:
     """1-based position of each row in ascending `order_by` order, which must be
-    total. The rows are cut into `slices` key ranges at boundaries drawn by hash (a
-    few hundred keys, whatever the table's size), numbered inside each range, and
-    shifted by the number of rows in the ranges before."""
-    key = F.struct(*[F.col(c) for c in order_by])
-    drawn = (
-        df.select(*order_by).orderBy(F.xxhash64(*order_by), *order_by).limit(slices - 1).collect()
-    )
-    schema = df.select(key.alias("k")).schema["k"].dataType
-    bounds = sorted((tuple(row) for row in drawn), key=lambda t: tuple((v is not None, v) for v in t))
-    bound_array = F.array(*[
-        F.struct(*[
-            F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, schema, strict=True)])
-        for b in bounds
-    ]) if bounds else None
-    slice_of: Column = (
-        F.size(F.filter(bound_array, lambda b: b < key)) if bound_array is not None else F.lit(0))
-    sliced = df.withColumn("_slice", slice_of)
+    total. The rows are range-partitioned by their keys into slices of about
+    `rows_per_slice` rows, stored with the number of their slice, numbered inside each,
+    and shifted by the number of rows in the slices before. Rows with equal keys stay
+    together, and are numbered in any order."""
+    count = slices or max(1, -(-df.count() // rows_per_slice))
+    keys = [F.col(c) for c in order_by]
+    sliced = materialize(
+        df.repartitionByRange(count, *keys).withColumn("_slice", F.spark_partition_id()), "numbered")
     # one row per slice, so this single-partition window sees at most `slices` rows
     counts = sliced.groupBy("_slice").agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

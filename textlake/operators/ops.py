@@ -11,7 +11,6 @@ from .querylog import at
 DELETED_SOURCE = "(삭제됨)"
 DEFAULT_INTERVAL = 1440
 SHOWN_FAILURES = 8
-MESSAGE_LIMIT = 500
 # ------------------------------------------------------------------------------
 SOURCE_KEY = ["source_type", "source_id"]
 
@@ -168,10 +167,18 @@ def _outcome_counts(outcomes: DataFrame, *keys: str) -> DataFrame:
         F.count("*").alias("total"), *[F.count_if(F.col("outcome") == v).alias(k) for k, v in kinds.items()])
 
 
-def sync_summary(outcomes: DataFrame, trigger: str = "manual", order: str = "file_name") -> DataFrame:
+def failed_files(outcomes: DataFrame, order: str = "file_name") -> DataFrame:
+    """All failed files of a run, one row each, in `order` within their source."""
+    return outcomes.filter(F.col("outcome") == "fail").select(
+        "source_type", "source_name", "file_name", *([order] if order != "file_name" else []))
+
+
+def sync_summary(outcomes: DataFrame, trigger: str = "manual", order: str = "file_name",
+                 message_limit: int | None = None) -> DataFrame:
     """Run summary per source: counts, status, headline and message with the first
-    failed files. Only those few names per source are ever gathered; the rank limit
-    works before the shuffle too."""
+    failed files; `failed_files` lists all of them. Only those few names per source are
+    ever gathered; the rank limit works before the shuffle too. A `message_limit` cuts
+    names, never the counts, which stand before them."""
     keys = ["source_type", "source_name"]
     counts = _outcome_counts(outcomes, *keys)
     first = Window.partitionBy(*keys).orderBy(order)
@@ -191,7 +198,7 @@ def sync_summary(outcomes: DataFrame, trigger: str = "manual", order: str = "fil
         F.lit(" 외 "), (F.col("failed") - n_shown).cast("string"), F.lit("건"))).otherwise("")
     files = F.when(n_shown > 0, F.concat(listed, more)).otherwise("")
     message = F.concat(
-        F.lit(f"trigger={trigger}, total="), F.col("total"), F.lit(", success="), F.col("success"),
+        F.lit(f"trigger={trigger}, source_id="), F.col("source_name"), F.lit(", total="), F.col("total"), F.lit(", success="), F.col("success"),
         F.lit(", skipped="), F.col("skipped"), F.lit(", unchanged="), F.col("unchanged"),
         F.lit(", failed="), F.col("failed"),
         F.when(files != "", F.concat(F.lit(", failed_files="), files)).otherwise(""))
@@ -200,7 +207,8 @@ def sync_summary(outcomes: DataFrame, trigger: str = "manual", order: str = "fil
         F.lit(" / 스킵 "), F.col("skipped"), F.lit(" / 변경없음 "), F.col("unchanged"), F.lit(")"))
     return counts.join(shown, keys, "left").select(
         *keys, "total", "success", "skipped", "unchanged", "failed", status.alias("status"),
-        headline.alias("file_name"), F.substring(message, 1, MESSAGE_LIMIT).alias("message"))
+        headline.alias("file_name"),
+        (message if message_limit is None else F.substring(message, 1, message_limit)).alias("message"))
 
 
 def sync_all_summary(runs: DataFrame) -> DataFrame:
@@ -229,8 +237,9 @@ def health_counts(smb: DataFrame, db: DataFrame, certificates: DataFrame) -> Dat
     return sources.unionByName(certs)
 
 
-def ops_radar(trend: DataFrame) -> DataFrame:
-    """One row of dashboard measures from a daily trend, each at most 100."""
+def ops_radar(trend: DataFrame, ceiling: float | None = None) -> DataFrame:
+    """One row of dashboard measures from a daily trend; `ceiling`, where given, bounds
+    counts for a chart of fixed scale."""
     sums = trend.agg(
         F.coalesce(F.sum("success"), F.lit(0)).alias("s"), F.coalesce(F.sum("failed"), F.lit(0)).alias("f"),
         F.greatest(F.count("*"), F.lit(1)).alias("days"))
@@ -238,7 +247,8 @@ def ops_radar(trend: DataFrame) -> DataFrame:
     rate = F.when(total > 0, F.col("f") / total * 100).otherwise(0.0)
 
     def capped(c: Column) -> Column:
-        return F.least(c.cast("double"), F.lit(100.0))
+        value = c.cast("double")
+        return value if ceiling is None else F.least(value, F.lit(float(ceiling)))
 
     return sums.select(
         capped(total).alias("total"), capped(F.col("s")).alias("success"), capped(F.col("f")).alias("failed"),
@@ -268,9 +278,11 @@ def previous_value(df: DataFrame, key: str, ts: str, tie: str, value: Column, de
     lasts = cut.groupBy(key, "_b").agg(F.max_by(F.struct("_v"), F.struct(ts, tie)).alias("_l"))
     carried = lasts.withColumn("_c", F.lag("_l").over(Window.partitionBy(key).orderBy("_b"))).select(key, "_b", "_c")
     seen = cut.withColumn("_p", F.lag(F.struct("_v")).over(inside))
+    # rows without a key or a time are a bucket like any other
+    other = carried.select(F.col(key).alias("_k2"), F.col("_b").alias("_b2"), "_c")
     return (
-        seen.join(carried, [key, "_b"])
-        .withColumn(name, F.coalesce("_p._v", "_c._v", default)).drop("_v", "_b", "_p", "_c")
+        seen.join(other, seen[key].eqNullSafe(other["_k2"]) & seen["_b"].eqNullSafe(other["_b2"]))
+        .withColumn(name, F.coalesce("_p._v", "_c._v", default)).drop("_v", "_b", "_p", "_c", "_k2", "_b2")
     )
 
 

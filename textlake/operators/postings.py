@@ -93,6 +93,8 @@ class Index:
     postings: DataFrame
     stats: DataFrame
     analyzer: Analyzer = field(default=DEFAULT_ANALYZER)
+    # of a stored index: into how many buckets its words are dealt
+    buckets: int = 0
 
     def stat(self, name: str) -> Column:
         """Per-field statistic for the row's `field`; the map has one entry per field."""
@@ -117,13 +119,23 @@ def write_index(index: Index, path: str, buckets: int = 256) -> None:
         .write.mode("errorifexists").partitionBy("term_bucket").parquet(f"{path}/postings")
     )
     index.stats.write.mode("errorifexists").parquet(f"{path}/stats")
+    how = [(buckets, analyzer_name(index.analyzer))]
+    index.stats.sparkSession.createDataFrame(how, "buckets int, analyzer string").coalesce(1).write.mode(
+        "errorifexists").parquet(f"{path}/settings")
 
 
 def read_index(spark: SparkSession, path: str, analyzer: Analyzer = DEFAULT_ANALYZER) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), analyzer)
+    how = spark.read.parquet(f"{path}/settings").first()
+    if how["analyzer"] != analyzer_name(analyzer):
+        raise ValueError(f"the index was written with {how['analyzer']}, not {analyzer_name(analyzer)}")
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), analyzer, how["buckets"])
 
 
-def term_bucket(term: Column, buckets: int = 256) -> Column:
+def analyzer_name(analyzer: Analyzer) -> str:
+    return f"{analyzer.tokens.__name__}/{','.join(analyzer.stopwords)}"
+
+
+def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
@@ -144,7 +156,7 @@ def _occurrences(index: Index, terms: DataFrame) -> DataFrame:
     vocabulary = terms.select("term").distinct()
     keys = ["term"]
     if "term_bucket" in index.postings.columns:
-        vocabulary = vocabulary.withColumn("term_bucket", term_bucket(F.col("term")))
+        vocabulary = vocabulary.withColumn("term_bucket", term_bucket(F.col("term"), index.buckets))
         keys = ["term_bucket", "term"]
     found = (
         index.postings.join(vocabulary, keys, "left_semi")

@@ -57,7 +57,7 @@ class SearchConfig:
     weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
     chosung_mode: str = "wildcard"
     synonyms: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(STATIC_SYNONYMS))
-    facet_size: int = 20
+    facet_size: int | None = None
 
 
 def combine_clauses(matches: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -173,15 +173,17 @@ def hybrid_hits(requests: DataFrame, docs: DataFrame, dictionary: DataFrame,
         lexical, includes, phrases.filter(role == "i").select("qid", "doc_id", "kid").distinct())
     hits = fl.exclude_any(hits, phrases.filter(role == "e").select("qid", "doc_id"))
     if vectors is not None and query_vectors is not None:
-        semantic = query_vectors.join(prepared.filter(~F.col("is_chosung")).select("qid"), "qid", "left_semi")
-        near = knn(semantic, vectors, k).select("qid", "doc_id", F.col("score").alias("_near"))
+        # as many neighbours as the request's page is long
+        asked = prepared.filter(~F.col("is_chosung")).select("qid", _asked(prepared, "size", k).alias("k"))
+        near = knn(query_vectors.join(asked, "qid"), vectors, k).select("qid", "doc_id", F.col("score").alias("_near"))
         hits = hits.join(near, ["qid", "doc_id"], "left").withColumn(
             "score", F.round(F.col("score") + weights["vector"] * F.coalesce("_near", F.lit(0.0)), 6)).drop("_near")
     meta = docs.select("doc_id", "title", "doc_category", "file_ext", "indexed_at")
     asks = prepared.select(
         "qid", "original_query", "corrected_query", "is_typo_corrected", "is_chosung", "is_name_like",
         "target_keywords", F.col("doc_category").alias("_category"), F.col("file_ext").alias("_ext"),
-        "start_date", "end_date", F.col("min_score").alias("_floor"))
+        "start_date", "end_date", F.col("min_score").alias("_floor"),
+        *[c for c in ("page", "size") if c in prepared.columns])
     hits = (
         hits.join(asks, "qid").join(meta, "doc_id")
         .filter(fl.category_matches(F.col("doc_category"), F.col("_category")))
@@ -194,6 +196,11 @@ def hybrid_hits(requests: DataFrame, docs: DataFrame, dictionary: DataFrame,
     return fl.require_exact_names(fl.prefer_exact(hits))
 
 
+def _asked(df: DataFrame, name: str, otherwise: int) -> Column:
+    """A request's own page or size, where its table has one."""
+    return F.coalesce(F.col(name).cast("int"), F.lit(otherwise)) if name in df.columns else F.lit(otherwise)
+
+
 def _ranking() -> Window:
     return Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("indexed_at"), F.asc("doc_id"))
 
@@ -205,11 +212,18 @@ def top_hits(hits: DataFrame, k: int) -> DataFrame:
 
 
 def page_hits(hits: DataFrame, page: int = 1, size: int = 10) -> DataFrame:
-    """One page per request, with total and total_pages."""
-    totals = hits.groupBy("qid").agg(F.count("*").alias("total"))
-    rows = top_hits(hits, page * size).filter(F.col("rank") > (page - 1) * size)
+    """One page per request, with total and total_pages. A request's own `page` and `size`
+    count where the hits carry them; only ranks up to the largest page's end are kept
+    before the shuffle."""
+    asked = hits.withColumns({"_page": _asked(hits, "page", page), "_size": _asked(hits, "size", size)}).drop("page", "size")
+    totals = asked.groupBy("qid").agg(F.count("*").alias("total"))
+    most = page * size
+    if {"page", "size"} & set(hits.columns):
+        most = asked.agg(F.max(F.col("_page") * F.col("_size"))).first()[0] or 0
+    rank, first = F.col("rank"), (F.col("_page") - 1) * F.col("_size")
+    rows = top_hits(asked, most).filter((rank > first) & (rank <= first + F.col("_size")))
     return rows.join(totals, "qid").withColumn(
-        "total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("int"))
+        "total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / F.col("_size"))).cast("int")).drop("_page", "_size")
 
 
 def add_highlights(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -238,9 +252,12 @@ def facet_category(hits: DataFrame) -> DataFrame:
         "qid", "doc_category").agg(F.count("*").alias("count"))
 
 
-def facet_extension(hits: DataFrame, size: int = 20) -> DataFrame:
-    """Hits per request and extension, missing ones "unknown", the `size` largest."""
+def facet_extension(hits: DataFrame, size: int | None = None) -> DataFrame:
+    """Hits per request and extension, missing ones "unknown"; the `size` largest where
+    the caller asks for so many only."""
     counts = hits.groupBy("qid", ext_for_stats("file_ext").alias("file_ext")).agg(F.count("*").alias("count"))
+    if size is None:
+        return counts
     largest = Window.partitionBy("qid").orderBy(F.desc("count"), F.asc("file_ext"))
     return counts.withColumn("_rn", F.row_number().over(largest)).filter(F.col("_rn") <= size).drop("_rn")
 
@@ -266,8 +283,8 @@ def hybrid_or_search(keywords: DataFrame, query_vectors: DataFrame, vectors: Dat
 def autocomplete(prefixes: DataFrame, docs: DataFrame, k: int = 5, chosung_mode: str = "wildcard",
                  analyzer: Analyzer = DEFAULT_ANALYZER) -> DataFrame:
     """(qid, title, rank) suggestions for typed prefixes (qid, prefix): titles whose
-    words continue the prefix, or documents matching a chosung input. The best k hits,
-    each title once."""
+    words continue the prefix, or documents matching a chosung input. The best k titles,
+    each by its best hit."""
     typed = prefixes.select("qid", restore_jamo(sanitize("prefix")).alias("keyword")).filter(
         F.col("keyword") != "").withColumn("kid", F.lit("p")).withColumn("_c", is_chosung_query("keyword"))
     index = Index(prefix_postings(docs, "title", analyzer), field_stats(docs, {TITLE: "title"}, analyzer), analyzer)
@@ -277,11 +294,9 @@ def autocomplete(prefixes: DataFrame, docs: DataFrame, k: int = 5, chosung_mode:
     chosung = match_chosung(typed.filter("_c").drop("_c"), docs, chosung_mode, 1.0).select("qid", "doc_id", "score")
     titled = phrase.unionByName(chosung).join(docs.select("doc_id", "title"), "doc_id").filter(
         F.coalesce("title", F.lit("")) != "")
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("title"), F.asc("doc_id"))
-    return (
-        titled.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k)
-        .groupBy("qid", "title").agg(F.min("rn").alias("rank"))
-    )
+    titles = titled.groupBy("qid", "title").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("title"))
+    return titles.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("qid", "title", "rank")
 
 
 def boost_autocomplete(candidates: DataFrame, popular: DataFrame) -> DataFrame:
@@ -318,11 +333,11 @@ def rerank(page: DataFrame, docs: DataFrame, popular: DataFrame | None = None,
     )
 
 
-def latest_docs(docs: DataFrame, skip: int = 0, limit: int = 20, cap: int = 100) -> DataFrame:
-    """Newest documents with the corpus total; `limit` is capped as the listing caps it."""
+def latest_docs(docs: DataFrame, skip: int = 0, limit: int = 20) -> DataFrame:
+    """One page of the newest documents, `limit` long as asked for, with the corpus total."""
     total = docs.agg(F.count("*").alias("n")).scalar()
     return (
-        docs.orderBy(F.desc("indexed_at"), F.asc("doc_id")).offset(skip).limit(min(limit, cap))
+        docs.orderBy(F.desc("indexed_at"), F.asc("doc_id")).offset(skip).limit(limit)
         .withColumn("total", total)
     )
 
@@ -334,7 +349,3 @@ def get_documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def delete_documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
 
-
-def clear_all(*tables: DataFrame) -> list[DataFrame]:
-    """Empty tables of the same schemas."""
-    return [table.limit(0) for table in tables]

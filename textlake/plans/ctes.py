@@ -90,7 +90,7 @@ select item_id as qid, concat_ws(' ', w[3], w[4]) as query,
   case when item_id % 5 = 4 then timestamp '2024-02-10 00:00:00' end as end_date,
   case when item_id % 6 = 5 then 'other' else '' end as doc_category,
   case when item_id % 7 = 6 then '.PDF' else '' end as file_ext,
-  0.0 as min_score, 10 as size, 1 as page, 'user-' || cast(item_id % 5 as varchar) as user_id
+  0.0 as min_score, item_id % 3 * 5 + 5 as size, item_id % 2 + 1 as page, 'user-' || cast(item_id % 5 as varchar) as user_id
 from (select item_id, {words('text')} as w from benchmark)""")
 
 _cte("raw_dictionary", """

@@ -127,9 +127,9 @@ from outcomes group by 1, 2"""
 select source_type, source_name, total, success, skipped, unchanged, failed,
   case when failed = 0 then 'success' when success > 0 or skipped > 0 then 'partial' else 'fail' end as status,
   '총 ' || total || '건 (성공 ' || success || ' / 실패 ' || failed || ' / 스킵 ' || skipped || ' / 변경없음 ' || unchanged || ')' as file_name,
-  left('trigger=manual, total=' || total || ', success=' || success || ', skipped=' || skipped || ', unchanged=' || unchanged || ', failed=' || failed
+  'trigger=manual, source_id=' || source_name || ', total=' || total || ', success=' || success || ', skipped=' || skipped || ', unchanged=' || unchanged || ', failed=' || failed
     || case when failed > 0 then ', failed_files=' || array_to_string(names[1:8], ', ')
-      || case when failed > 8 then ' 외 ' || (failed - 8) || '건' else '' end else '' end, 500) as message
+      || case when failed > 8 then ' 외 ' || (failed - 8) || '건' else '' end else '' end as message
 from runs""", "outcomes", runs=RUNS))
 def e10(t: Tables) -> DataFrame:
     return ops.sync_summary(t.outcomes)
@@ -158,8 +158,8 @@ def e13(t: Tables) -> DataFrame:
 
 
 @query("e14_ops_radar", sql(f"""
-select least(total, 100)::double as total, least(total - failed, 100)::double as success, least(failed, 100)::double as failed,
-  least(total / greatest(days, 1), 100)::double as daily_mean, round(greatest(0, 100 - failed / total * 100), 6) as success_index
+select total::double as total, (total - failed)::double as success, failed::double as failed,
+  (total / greatest(days, 1))::double as daily_mean, round(greatest(0, 100 - failed / total * 100), 6) as success_index
 from (select count(*) as total, count(*) filter (total_hits <= 0) as failed, count(distinct cast(created_at as date)) as days
   from logs where created_at >= {NOW} - interval 14 day)""", "logs"))
 def e14(t: Tables) -> DataFrame:

@@ -133,8 +133,11 @@ def d5_hybrid(t: Tables) -> DataFrame:
 
 KNN = """select q.vec_id as qid, d.vec_id as doc_id,
   round(1 / (1 + list_distance(q.embedding::double[], d.embedding::double[]) ** 2), 6) as score,
-  row_number() over (partition by q.vec_id order by round(1 / (1 + list_distance(q.embedding::double[], d.embedding::double[]) ** 2), 6) desc, d.vec_id) as rank
+  row_number() over (partition by q.vec_id order by round(list_distance(q.embedding::double[], d.embedding::double[]) ** 2, 9), d.vec_id) as rank
 from embeddings q, embeddings d where q.vec_id in (select item_id from benchmark) qualify rank <= 10"""
+# as many neighbours as the request's page is long
+NEAR = KNN.replace("from embeddings q, embeddings d where q.vec_id in (select item_id from benchmark) qualify rank <= 10",
+                   "from embeddings q join requests r on q.vec_id = r.qid, embeddings d qualify rank <= any_value(r.size) over (partition by q.vec_id)")
 
 
 @query("d6_knn", KNN)
@@ -156,7 +159,7 @@ HITS = dict(
     **match_ctes("""select qid, 't' || cast(i as varchar) as kid, keyword from targets
 union all select qid, kid, keyword from inc union all select qid, kid, keyword from exc"""),
     included="""select qid, doc_id, count(distinct kid) as have from matches where phrase_tf > 0 and kid like 'i%' group by 1, 2""",
-    near=KNN,
+    near=NEAR,
     scored="""select l.qid, l.doc_id, round(l.score + coalesce(n.score, 0.0), 6) as score from lexical l left join near n using (qid, doc_id)""",
     filtered="""select s.*, d.title, d.all_text, d.doc_category, d.file_ext, d.indexed_at, r.final, r.clean <> r.original_query as corrected,
   contains(lower(d.title), lower(trim(r.final))) or contains(lower(d.all_text), lower(trim(r.final))) as exact
@@ -189,8 +192,10 @@ def d7_hits(t: Tables) -> DataFrame:
 
 
 PAGE = dict(
-    page1="""select qid, doc_id, score, all_text, row_number() over (partition by qid order by score desc, indexed_at desc, doc_id) as rank,
-  count(*) over (partition by qid) as total from hits qualify rank <= 10""",
+    first_pages="""select qid, doc_id, score, all_text, row_number() over (partition by qid order by score desc, indexed_at desc, doc_id) as rank,
+  count(*) over (partition by qid) as total from hits""",
+    page1="""select f.*, r.size as page_size from first_pages f join requests r using (qid)
+where rank > (r.page - 1) * r.size and rank <= r.page * r.size""",
     found="""select p.qid, p.doc_id, min_by(instr(lower(all_text), lower(trim(keyword))), i) as pos,
   min_by(length(lower(trim(keyword))), i) as size
 from page1 p join targets t on t.qid = p.qid where instr(lower(all_text), lower(trim(keyword))) > 0 group by 1, 2""",
@@ -198,7 +203,7 @@ from page1 p join targets t on t.qid = p.qid where instr(lower(all_text), lower(
 
 
 @query("d7_hybrid_search", sql(f"""
-select qid, doc_id, rank, score, total, ceil(total / 10)::bigint as total_pages,
+select qid, doc_id, rank, score, total, ceil(total / page_size)::bigint as total_pages,
   case when pos is null then '1' else {page_sql('all_text', 'pos')} end as page,
   case when pos is null then left(all_text, 200) || '...' else {snippet_sql('all_text', 'pos', 'size')} end as summary
 from page1 left join found using (qid, doc_id)""", *SEARCH_TABLES, **HITS, **PAGE))
@@ -238,9 +243,9 @@ on (qpos < n - 1 and t.term = p.term) or (qpos = n - 1 and t.term like p.term ||
     tidf="select qid, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5))) as idf from tdf, tdl group by 1",
     starts="""select qid, doc_id, title, dl, count(*) as tf from (
   select qid, doc_id, title, dl, pos - qpos as s from joined group by 1, 2, 3, 4, 5 having count(*) = max(n)) group by 1, 2, 3, 4""",
-    five=f"""select qid, title, row_number() over (partition by qid order by round(idf * {NORM.format(tf='tf')}, 6) desc, title, doc_id) as rn
-from starts join tidf using (qid), tdl qualify rn <= 5""",
-    suggestions="select qid, title, min(rn) as rank from five group by 1, 2",
+    titles_of=f"""select qid, title, max(round(idf * {NORM.format(tf='tf')}, 6)) as score from starts join tidf using (qid), tdl group by 1, 2""",
+    suggestions="""select qid, title, row_number() over (partition by qid order by score desc, title) as rank
+from titles_of qualify rank <= 5""",
 )
 
 
@@ -409,13 +414,14 @@ def e9(t: Tables) -> DataFrame:
 
 
 @query("w5_page_hits", sql("""
-select qid, doc_id, rank, total, greatest(1, ceil(total / 5))::bigint as total_pages from (
+select qid, doc_id, rank, total, greatest(1, ceil(total / size))::bigint as total_pages from (
   select *, row_number() over (partition by qid order by score desc, indexed_at desc, doc_id) as rank,
-    count(*) over (partition by qid) as total from lexical join docs using (doc_id)) where rank between 6 and 10""",
+    count(*) over (partition by qid) as total from lexical join docs using (doc_id)) join (select qid, page, size from requests) using (qid)
+where rank > (page - 1) * size and rank <= page * size""",
     "docs", "requests", **match_ctes(QUERY_KEYWORDS)))
 def w5(t: Tables) -> DataFrame:
     hits = se.lexical_score(_keywords(t), po.build_index(t.docs)).join(t.docs.select("doc_id", "indexed_at"), "doc_id")
-    return se.page_hits(hits, page=2, size=5).select(
+    return se.page_hits(hits.join(t.requests.select("qid", "page", "size"), "qid")).select(
         "qid", "doc_id", F.col("rank").cast("long").alias("rank"), "total", F.col("total_pages").cast("long").alias("total_pages"))
 
 
@@ -428,7 +434,7 @@ def w6(t: Tables) -> DataFrame:
 
 
 @query("w7_latest_docs", sql("""
-select doc_id, title, (select count(*) from docs) as total from docs order by indexed_at desc, doc_id limit 100 offset 10""", "docs"))
+select doc_id, title, (select count(*) from docs) as total from docs order by indexed_at desc, doc_id limit 500 offset 10""", "docs"))
 def w7(t: Tables) -> DataFrame:
     return se.latest_docs(t.docs, skip=10, limit=500).select("doc_id", "title", "total")
 

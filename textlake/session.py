@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,19 @@ def build_session(app: str = "textlake", master: str | None = None, **extra: str
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, which may start in any folder."""
+    here = Path(__file__).resolve().parent
+    buffer = Path(tempfile.mkdtemp(prefix="package-")) / f"{here.name}.zip"
+    with zipfile.ZipFile(buffer, "w") as archive:
+        for source in sorted(here.rglob("*.py")):
+            archive.write(source, source.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(buffer))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import map_category
-from .tables import read_table, spread
+from .tables import read_table
 
 AS_OF = "2024-01-31 00:00:00"
 EXTENSIONS = ("pdf", "docx", "xlsx", "pptx", "txt")
@@ -21,8 +21,6 @@ TEXT_RULES = (
     ("REPORT", ("ment", "report")),
     ("RULE", ("ung", "rule")),
 )
-# tables whose rows are long texts, with their keys
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
 # Latin letters a..z as Hangul syllables, and as the jamo on the same keys of a
 # two-set keyboard: the stored texts hold no Hangul
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -44,8 +42,7 @@ class Tables:
         self.directory = directory
 
     def __call__(self, name: str) -> DataFrame:
-        table = read_table(self.spark, self.directory, name)
-        return spread(table, TEXT_KEYS[name]) if name in TEXT_KEYS else table
+        return read_table(self.spark, self.directory, name)
 
     @cached_property
     def logs(self) -> DataFrame:
@@ -109,8 +106,8 @@ class Tables:
             F.when(n % 6 == 5, "other").otherwise("").alias("doc_category"),
             F.when(n % 7 == 6, ".PDF").otherwise("").alias("file_ext"),
             F.lit(0.0).alias("min_score"),
-            F.lit(10).alias("size"),
-            F.lit(1).alias("page"),
+            (n % 3 * 5 + 5).cast("int").alias("size"),
+            (n % 2 + 1).cast("int").alias("page"),
             F.concat(F.lit("user-"), (n % 5).cast("string")).alias("user_id"),
         )
 

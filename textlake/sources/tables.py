@@ -8,17 +8,3 @@ from pyspark.sql import DataFrame, SparkSession
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Scan one Parquet table; filters and column lists reach the scan."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
-
-
-def read_jdbc_table(spark: SparkSession, url: str, name: str, fetch_size: int = 1000,
-                    properties: dict[str, str] | None = None) -> DataFrame:
-    """Scan one relational table through JDBC."""
-    return spark.read.jdbc(url, name, properties={"fetchsize": str(fetch_size), **(properties or {})})
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan that has fewer splits than the cluster has cores, as a
-    table in one small file does. A table with enough splits is returned untouched, so
-    nothing is shuffled where there is much to shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
