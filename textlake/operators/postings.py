@@ -108,27 +108,75 @@ def build_index(docs: DataFrame, fields: dict[str, str] | None = None,
     return Index(build_postings(docs, fields, analyzer), field_stats(docs, fields, analyzer), analyzer)
 
 
-def write_index(index: Index, path: str, buckets: int = 256) -> None:
-    """Store an index for repeated use: partition folders by word bucket, ranges of
-    (word, document) inside, so that a frequent word is spread over several files and
-    a look-up reads the row groups of its words only."""
-    bucketed = index.postings.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+def _write_segment(postings: DataFrame, path: str, segment: int, buckets: int) -> None:
+    """One segment of a stored index: postings in folders by word bucket, ranges of
+    (word, document) inside, so that a frequent word is spread over several files and a
+    look-up reads the row groups of its words only; and every field's length in words,
+    from which the statistics are had without reading postings."""
+    place = f"{path}/postings/segment={segment}"
     (
-        bucketed.repartitionByRange("term_bucket", "term", "doc_id")
+        postings.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+        .repartitionByRange("term_bucket", "term", "doc_id")
         .sortWithinPartitions("term_bucket", "term", "doc_id", "pos")
-        .write.mode("errorifexists").partitionBy("term_bucket").parquet(f"{path}/postings")
+        .write.mode("errorifexists").partitionBy("term_bucket").parquet(place)
     )
-    index.stats.write.mode("errorifexists").parquet(f"{path}/stats")
+    stored = postings.sparkSession.read.parquet(place)
+    stored.groupBy("field", "doc_id").agg(F.max("dl").alias("dl")).write.mode("errorifexists").parquet(
+        f"{path}/lengths/segment={segment}")
+
+
+def write_index(index: Index, path: str, buckets: int = 256) -> None:
+    """Store an index for repeated use. The number of buckets and the analyser's name are
+    stored with it; `append_index` and `delete_from_index` maintain it."""
+    spark = index.postings.sparkSession
+    ids = index.postings.select("doc_id").limit(0)
+    ids.write.mode("errorifexists").parquet(f"{path}/deleted/segment=0")
+    _write_segment(index.postings, path, 1, buckets)
     how = [(buckets, analyzer_name(index.analyzer))]
-    index.stats.sparkSession.createDataFrame(how, "buckets int, analyzer string").coalesce(1).write.mode(
-        "errorifexists").parquet(f"{path}/settings")
+    spark.createDataFrame(how, "buckets int, analyzer string").coalesce(1).write.mode("errorifexists").parquet(f"{path}/settings")
 
 
-def read_index(spark: SparkSession, path: str, analyzer: Analyzer = DEFAULT_ANALYZER) -> Index:
+def _settings(spark: SparkSession, path: str, analyzer: Analyzer) -> int:
     how = spark.read.parquet(f"{path}/settings").first()
     if how["analyzer"] != analyzer_name(analyzer):
         raise ValueError(f"the index was written with {how['analyzer']}, not {analyzer_name(analyzer)}")
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), analyzer, how["buckets"])
+    return how["buckets"]
+
+
+def _next_segment(spark: SparkSession, path: str) -> int:
+    """Segments are numbered in the order of changes; the numbers are folder names."""
+    seen = [spark.read.parquet(f"{path}/{kind}").agg(F.max("segment")).first()[0] or 0 for kind in ("lengths", "deleted")]
+    return max(seen) + 1
+
+
+def append_index(docs: DataFrame, path: str, fields: dict[str, str] | None = None,
+                 analyzer: Analyzer = DEFAULT_ANALYZER) -> None:
+    """Add documents as a segment of their own. Their ids must not be in the index, or
+    have been deleted from it before."""
+    spark = docs.sparkSession
+    buckets = _settings(spark, path, analyzer)
+    _write_segment(build_postings(docs, fields, analyzer), path, _next_segment(spark, path), buckets)
+
+
+def delete_from_index(ids: DataFrame, path: str) -> None:
+    """Forget documents (doc_id) that earlier segments hold. Postings stay in their files
+    and are left out when read."""
+    segment = _next_segment(ids.sparkSession, path)
+    ids.select("doc_id").where("doc_id is not null").distinct().write.mode("errorifexists").parquet(f"{path}/deleted/segment={segment}")
+
+
+def read_index(spark: SparkSession, path: str, analyzer: Analyzer = DEFAULT_ANALYZER) -> Index:
+    """The index as its segments and deletions leave it."""
+    buckets = _settings(spark, path, analyzer)
+    gone = spark.read.parquet(f"{path}/deleted").groupBy("doc_id").agg(F.max("segment").alias("_until"))
+
+    def living(kind: str) -> DataFrame:
+        rows = spark.read.parquet(f"{path}/{kind}")
+        lost = gone.withColumnRenamed("doc_id", "_gone")
+        return rows.join(lost, (F.col("doc_id") == F.col("_gone")) & (F.col("segment") < F.col("_until")), "left_anti").drop("segment")
+
+    stats = living("lengths").groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return Index(living("postings"), stats, analyzer, buckets)
 
 
 def analyzer_name(analyzer: Analyzer) -> str:

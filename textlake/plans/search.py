@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..operators import querylog as ql
 from ..operators import search as se
 from ..operators.dictionary import upsert_dictionary
 from ..operators.vectors import knn
+from ..session import shared_dir
 from ..sources.adapters import AS_OF, Tables, as_syllables
 from .ctes import NOW, as_syllables as syllables_sql
 from .ctes import chosung, sanitize, sql, words
@@ -51,6 +54,7 @@ from ands left join phrases using (qid, kid, field, doc_id)""",
     )
 
 
+_LEFT = "where doc_id not in (select doc_id from labels)"
 QUERY_KEYWORDS = "select qid, 't0' as kid, query as keyword from requests"
 
 
@@ -116,6 +120,20 @@ WILDCARD = "(not contains(keyword, ' ') and contains(c, keyword))::int"
 NGRAM = "(length(replace(keyword, ' ', '')) between 2 and 20 and contains(flat, lower(replace(keyword, ' ', ''))))::int"
 
 
+@query("d1_stored_index", sql("select * from lexical", "docs", "requests", **{
+    **match_ctes(QUERY_KEYWORDS),
+    "fields": f"""select doc_id, 'title' as field, {words('title')} as w from docs {_LEFT}
+union all select doc_id, 'body', {words('all_text')} from docs {_LEFT}"""}))
+def d1_stored(t: Tables) -> DataFrame:
+    """An index stored in two parts, with the labelled documents deleted, searched."""
+    path = f"{shared_dir(t.spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    later = F.col("doc_id") % 2 == 1
+    po.write_index(po.build_index(t.docs.filter(~later)), path, buckets=64)
+    po.append_index(t.docs.filter(later), path)
+    po.delete_from_index(t("labels"), path)
+    return se.lexical_score(_keywords(t), po.read_index(t.spark, path))
+
+
 @query("d5_match_chosung_wildcard", _chosung_sql(WILDCARD))
 def d5_wildcard(t: Tables) -> DataFrame:
     return se.match_chosung(_chosung_keywords(t), t.hangul_docs, "wildcard")
