@@ -233,6 +233,35 @@ def test_phrase_needs_order_and_stopwords_keep_distance(spark):
     assert got == {(1, 1): 1, (1, 4): 2, (2, 3): 1}
 
 
+def test_stored_index_is_maintained(spark, tmp_path):
+    rng, path = random.Random(8), str(tmp_path / "index")
+    text = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "beta gamma", "delta"]) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(3), text(12)) for i in range(30)], "doc_id long, title string, all_text string")
+    keywords = spark.createDataFrame([(1, "t0", "alpha"), (2, "t0", "beta gamma")], "qid long, kid string, keyword string")
+    ids = [r.doc_id for r in docs.select("doc_id").orderBy("doc_id").collect()]
+    half, gone = ids[: len(ids) // 2], ids[::3]
+    po.write_index(po.build_index(docs.filter(docs.doc_id.isin(half))), path, buckets=7)
+    po.append_index(docs.filter(~docs.doc_id.isin(half)), path)
+    po.delete_from_index(spark.createDataFrame([(i,) for i in gone], "doc_id long"), path)
+    left = docs.filter(~docs.doc_id.isin(gone))
+
+    def scores(index):
+        return sorted(map(tuple, se.lexical_score(keywords, index).collect()))
+    assert scores(po.read_index(spark, path)) == scores(po.build_index(left))
+    po.append_index(docs.filter(docs.doc_id.isin(gone)), path)
+    assert scores(po.read_index(spark, path)) == scores(po.build_index(docs))
+    with pytest.raises(ValueError):
+        po.read_index(spark, path, po.Analyzer(po.cjk_bigram_tokens))
+
+
+def test_nearest_in_full_precision_with_own_k_and_filter(spark):
+    docs = spark.createDataFrame([(1, [100.2 ** 0.5]), (2, [100.0 ** 0.5]), (3, [1.0]), (4, None)], "doc_id long, text_vector array<double>")
+    asked = spark.createDataFrame([(1, [0.0], 2), (2, [0.0], 1)], "qid long, vector array<double>, k int")
+    far = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    got = sorted((r.qid, r.rank, r.doc_id) for r in knn(asked, docs, allowed=far).collect())
+    assert got == [(1, 1, 2), (1, 2, 1), (2, 1, 2)]
+
+
 def test_stored_index_gives_the_same_scores(spark, tmp_path):
     docs = corpus(spark)
     index = po.build_index(docs)
