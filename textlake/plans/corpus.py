@@ -42,14 +42,16 @@ def a5(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", fi.decode_text(content).alias("text"))
 
 
+# a central-directory entry of a zip container that names a member of a docx file
+MEMBER = b"PK\x01\x02" + bytes(42) + b"word/x"
 LEADS = (b"%PDF-", b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n", b"PK\x03\x04", b"")
 
 
 @query("a6_triage_files", """
 select doc_id, case when reason = 'ok' then 'ok' else 'rejected' end as status, reason from (
   select doc_id, case when ext = '' then 'no_extension'
-    when length(text) + [5, 3, 8, 4, 0][lead + 1] > 20000 then 'too_large'
-    when ext in ('docx', 'xlsx') then 'signature_mismatch'
+    when length(text) + [5, 3, 8, 56, 0][lead + 1] > 20000 then 'too_large'
+    when ext in ('docx', 'xlsx') then case when ext = 'docx' and lead = 3 then 'ok' else 'signature_mismatch' end
     when (ext = 'pdf' and lead = 0) or (ext = 'jpg' and lead = 1) or (ext = 'png' and lead = 2) then 'ok'
     when ext in ('pdf', 'jpg', 'png') then 'signature_mismatch' else 'unsupported' end as reason
   from (select doc_id, encode(text) as b, strlen(text) as n, strlen(text) as bytes, n_chars % 5 as lead,
@@ -60,7 +62,8 @@ def a6(t: Tables) -> DataFrame:
     leads = F.array(*map(F.lit, LEADS))
     files = t("documents").select(
         "doc_id", F.get(exts, (F.col("doc_id") % 7).cast("int")).alias("file_ext"),
-        F.concat(F.get(leads, (F.col("n_chars") % 5).cast("int")), F.encode("text", "UTF-8")).alias("content"))
+        F.concat(F.get(leads, (F.col("n_chars") % 5).cast("int")), F.encode("text", "UTF-8"),
+                 F.when(F.col("n_chars") % 5 == 3, F.lit(MEMBER)).otherwise(F.lit(b""))).alias("content"))
     return fi.triage_files(files, max_bytes=20000).select("doc_id", "status", "reason")
 
 
