@@ -583,12 +583,41 @@ def test_automaton_against_recursion(spark, stored):
         want = sum(math.log10(p(tuple(s[j - 5:j]), s[j])) for j in range(5, len(s)))
         if len(s) == len(symbols_of[i]):
             want += sum(automaton.inner[b] for w in lmscore.split([(t or "").encode()])[0] for b in w if automaton.key[b] == 63)
-            got = automaton.log10(lmscore.split([(t or "").encode()]))[0]
+            got = automaton.tokens(lmscore.split([(t or "").encode()])).sum()
             assert abs(got - want) < 1e-4 * (1 + abs(want))
     rows_ = 10.0 ** automaton.arcs["weight"].reshape(-1, 64).astype(float)
     assert np.allclose(rows_.sum(axis=1), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("head", [lmscore.HEAD_WORDS, 5])
+def test_scores_mix_spelling_and_share(spark, wide, monkeypatch, head):
+    """Each token: its share of the training tokens, mixed with what the automaton gives its
+    symbols; long words and words outside the head like any other."""
+    share = lmscore.WORD_WEIGHT
+    monkeypatch.setattr(lmscore, "HEAD_WORDS", head)
+    model = lmscore.learn(wide)
+    got = sorted((r["n_tokens"], r["score"]) for r in lmscore.score(wide, model).collect())
+    lists = [lmscore.split([(t or "").encode()])[0] for _, t in texts_of(wide)]
+    counts = Counter(w for t in lists for w in [*t, b""])
+    total = sum(counts.values())
+    want = []
+    for t in lists:
+        own = model.automaton.tokens([t]).tolist()
+        want.append((len(t) + 1, sum(
+            math.log10(share * counts[w] / total + (1 - share) * 10.0 ** x) if x > -300 and counts[w] else
+            x + math.log10(1 - share) if not counts[w] else math.log10(share * counts[w] / total)
+            for w, x in zip([*t, b""], own, strict=True))))
+    assert [g[0] for g in got] == [w[0] for w in sorted(want)]
+    assert all(abs(g[1] - w[1]) < 1e-6 * (1 + abs(w[1])) for g, w in zip(got, sorted(want), strict=True))
+    # words that were never learned have the automaton's part alone, whatever their length
+    empty = lmscore.learn(wide.limit(0))
+    for r in lmscore.score(wide, empty).collect():
+        assert r["score"] < 0 and r["n_known"] == 0
+    known = lmscore.score(wide.where("doc_id = 7"), model).first()["score"]
+    other = lmscore.learn(wide.where("doc_id = 1"))
+    assert lmscore.score(wide.where("doc_id = 7"), other).first()["score"] < known
+
+
 def test_held_out_scores_beat_the_base(spark):
     got = run(spark, "op9_backoff_scores", "/root/testdata/sf0.1")
     assert got[got.held_out].score.sum() > got[got.held_out].base_score.sum()

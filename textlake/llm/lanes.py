@@ -41,15 +41,16 @@ def count_marks(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, tabl
     return marks
 
 
-def sum_weights(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, arcs: np.ndarray, warm: int) -> np.ndarray:
-    """Sum of arc weights along each lane, from state 0. The first `warm` symbols of a
-    lane move the state and do not count. Entry [row + symbol] of `arcs` holds the next
-    row and the weight."""
-    total = np.zeros(len(start))
+def weights(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, arcs: np.ndarray, warm: int) -> np.ndarray:
+    """The weight of the arc each symbol takes along its lane, from state 0; zero outside
+    lanes. The first `warm` symbols of a lane move the state and do not count. Entry
+    [row + symbol] of `arcs` holds the next row and the weight."""
+    out = np.zeros(len(symbols))
     at = np.zeros(len(start), np.int64)
     for step, n in enumerate(active(length)):
-        got = arcs[at[:n] + symbols[start[:n] + step]]
+        here = start[:n] + step
+        got = arcs[at[:n] + symbols[here]]
         if step >= warm:
-            total[:n] += got["weight"]
+            out[here] = got["weight"]
         at[:n] = got["next"]
-    return total
+    return out
