@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, char_ngrams, compact, strip, token_set
@@ -49,12 +49,18 @@ def append_search_logs(hits: DataFrame) -> DataFrame:
 
 
 def save_search_logs(hits: DataFrame, path: str) -> None:
-    """Append log rows, partitioned by day so that time windows prune folders."""
-    (
-        append_search_logs(hits)
-        .withColumn("log_date", F.to_date("created_at"))
-        .write.mode("append").partitionBy("log_date").parquet(path)
-    )
+    """Append log rows, partitioned by day so that time windows prune folders. Rows are
+    ranged by time first, so a task writes few days and a busy day takes several tasks."""
+    rows = append_search_logs(hits).withColumn("log_date", F.to_date("created_at"))
+    rows.repartitionByRange("log_date", "created_at").write.mode("append").partitionBy("log_date").parquet(path)
+
+
+def read_search_logs(spark: SparkSession, path: str, as_of, **interval: int) -> DataFrame:
+    """Stored log rows from `interval` before `as_of` on. The bound on the day prunes
+    folders; rows without a time lie in no window."""
+    begin = since(as_of, **interval)
+    stored = spark.read.parquet(path)
+    return stored.filter((F.col("log_date") >= F.to_date(begin)) & (F.col("created_at") >= begin)).drop("log_date")
 
 
 def _ranked_counts(logs: DataFrame, limit: int | None) -> DataFrame:

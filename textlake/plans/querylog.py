@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import filters as fl
 from ..operators import querylog as ql
+from ..session import shared_dir
 from ..sources.adapters import AS_OF, Tables
 from .ctes import NOW, compact, sql, stamp
 from .registry import query
@@ -31,17 +34,33 @@ select case when event_type = 'error' then '' else logs.user_id end as user_id,
 from events join logs on events.event_id = logs.id"""
 
 
-@query("a8_append_search_logs", sql(f"""
+_APPENDED = f"""
 select case when user_id = '' then 'anonymous' else user_id end as user_id, trim(query) as query, total_hits,
   coalesce(is_failed, total_hits = 0) as is_failed, 'manual_search' as search_type, {stamp('created_at')} as created_at
-from hits where trim(query) <> ''""", "logs", hits=HITS_SQL))
-def a8(t: Tables) -> DataFrame:
+from hits where trim(query) <> ''"""
+
+
+def _hits(t: Tables) -> DataFrame:
     kind = F.split("query", " ")[0]
-    hits = t.logs.select(
+    return t.logs.select(
         F.when(kind == "error", "").otherwise(F.col("user_id")).alias("user_id"),
         F.when(kind == "click", "  ").otherwise(F.concat(F.lit(" "), "query", F.lit(" "))).alias("query"),
         "total_hits", F.when(kind == "view", True).alias("is_failed"), "created_at")
-    return ql.append_search_logs(hits).withColumn("created_at", ts("created_at"))
+
+
+@query("a8_append_search_logs", sql(_APPENDED, "logs", hits=HITS_SQL))
+def a8(t: Tables) -> DataFrame:
+    return ql.append_search_logs(_hits(t)).withColumn("created_at", ts("created_at"))
+
+
+@query("a8_log_window", sql(f"{_APPENDED} and created_at >= {NOW} - interval 7 day", "logs", hits=HITS_SQL))
+def a8_window(t: Tables) -> DataFrame:
+    """Two appends to a stored log, then the last seven days of it."""
+    path = f"{shared_dir(t.spark).rstrip('/')}/logs-{uuid.uuid4().hex}"
+    found = F.coalesce("total_hits", F.lit(0)) > 0
+    ql.save_search_logs(_hits(t).filter(found), path)
+    ql.save_search_logs(_hits(t).filter(~found), path)
+    return ql.read_search_logs(t.spark, path, AS_OF, days=7).withColumn("created_at", ts("created_at"))
 
 
 @query("e1_popular_keywords", sql("select keyword, cnt as count from popular", "popular"))
