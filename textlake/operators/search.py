@@ -48,7 +48,6 @@ RERANK_BOOSTS = {"title": 0.35, "body": 0.15, "popular": 0.10}
 UNKNOWN_RANK = 10_000
 # ------------------------------------------------------------------------------
 CHOSUNG_MODES = ("wildcard", "ngram", "hybrid")
-ANCHOR_MAX = 3
 PACK_LIMIT = 1000
 
 
@@ -75,11 +74,6 @@ def lexical_score(keywords: DataFrame, index: Index, weights: dict[str, float] =
     return combine_clauses(match_keywords(index, keyword_terms(keywords, index.analyzer)), weights)
 
 
-def _anchors(body: Column) -> Column:
-    """Every window of one to ANCHOR_MAX characters, each once."""
-    return F.array_distinct(F.flatten(F.array(*[windows_of(body, n) for n in range(1, ANCHOR_MAX + 1)])))
-
-
 def _chosung_points(mode: str, raw: Column, flat: Column, c_text: Column, flat_text: Column) -> Column:
     """Number of matching clauses of a mode for one keyword and one text."""
     grams = F.when(F.length(flat) <= 20, F.array(flat)).otherwise(windows_of(flat, 20))
@@ -97,46 +91,43 @@ def match_chosung(keywords: DataFrame, docs: DataFrame, mode: str = "wildcard",
     matches). ngram: all 2..20-grams of the space-free keyword occur in the space-free
     text, which for up to 20 characters is containment. hybrid: either, summed.
 
-    Up to `pack_limit` keywords (counted first) travel to the scan as one value, and
-    every text is tested where it is read, without a shuffle. More keywords meet the
-    texts in an equi-join on their first characters, and each candidate's text is then
-    tested once."""
+    The keywords are a stated query set: in blocks of about `pack_limit` they travel to
+    the scan as one value, and every text is tested where it is read, without a
+    shuffle. With several blocks, the result of one is stored before the next is read."""
     if mode not in CHOSUNG_MODES:
         raise ValueError(f"unknown mode {mode}")
     wanted = keywords.select(
         "qid", "kid", strip("keyword").alias("raw"),
         F.lower(F.replace(strip("keyword"), F.lit(" "), F.lit(""))).alias("flat"),
     ).filter(F.col("flat") != "")
-    forms = docs.select("doc_id", to_chosung(text_col).alias("c_text"))
 
     def flat_of(c: Column) -> Column:
         return F.lower(F.replace(c, F.lit(" "), F.lit("")))
 
-    n = wanted.limit(pack_limit + 1).count()
-    if n <= pack_limit:
-        scored_by = lambda f: F.filter(
+    def scored_by(form: Column) -> Column:
+        return F.filter(
             F.transform("_wanted", lambda w: F.struct(
                 w["qid"].alias("qid"), w["kid"].alias("kid"),
-                (_chosung_points(mode, w["raw"], w["flat"], f["c"], f["f"]) * F.lit(float(boost))).alias("score"))),
+                (_chosung_points(mode, w["raw"], w["flat"], form["c"], form["f"]) * F.lit(float(boost))).alias("score"))),
             lambda s: s["score"] > 0)
-        pack = wanted.agg(F.collect_list(F.struct("qid", "kid", "raw", "flat")).alias("w")).scalar()
-        scan = docs if n else docs.limit(0)
+
+    def scan(block: DataFrame) -> DataFrame:
+        pack = block.agg(F.collect_list(F.struct("qid", "kid", "raw", "flat")).alias("w")).scalar()
         text = let(to_chosung(text_col), lambda c: F.struct(c.alias("c"), flat_of(c).alias("f")))
         return (
-            scan.withColumn("_wanted", pack).select("doc_id", F.explode(let(text, scored_by)).alias("m"))
+            docs.withColumn("_wanted", pack).select("doc_id", F.explode(let(text, scored_by)).alias("m"))
             .select("m.qid", "m.kid", "doc_id", "m.score")
         )
-    anchored = wanted.withColumn("anchor", F.substring("flat", 1, ANCHOR_MAX))
-    candidates = (
-        forms.select("doc_id", F.explode(_anchors(flat_of(F.col("c_text")))).alias("anchor"))
-        .join(anchored, "anchor").drop("anchor")
-    )
-    points = _chosung_points(mode, F.col("raw"), F.col("flat"), F.col("c_text"), F.col("_flat"))
-    return (
-        candidates.join(forms, "doc_id").withColumn("_flat", flat_of(F.col("c_text")))
-        .withColumn("score", points * F.lit(float(boost)))
-        .filter(F.col("score") > 0).select("qid", "kid", "doc_id", "score")
-    )
+
+    blocks = -(-wanted.count() // max(1, pack_limit))
+    if blocks <= 1:
+        return scan(wanted) if blocks else scan(wanted).limit(0)
+    own = F.pmod(F.xxhash64("qid", "kid", "raw"), F.lit(blocks))
+    found = None
+    for i in range(blocks):
+        hits = materialize(scan(wanted.filter(own == i)), "chosung")
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 def _keyword_table(prepared: DataFrame) -> DataFrame:
