@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import random
 import zipfile
 from datetime import datetime, timedelta
@@ -360,3 +361,70 @@ def test_streams_equal_batches(spark):
     batch = sorted(map(tuple, QUERIES["j3_lockouts"](tables).select("id", "outcome", F.coalesce("blocked_until", F.lit(""))).collect()))
     stream = sorted(map(tuple, QUERIES["j3_lockout_stream"](tables).select("id", "outcome", F.coalesce("blocked_until", F.lit(""))).collect()))
     assert batch == stream
+
+
+def _arrivals(spark, folder, files: list[str]):
+    for rows in files:
+        spark.sql(rows).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _finish(stream, folder):
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def test_stream_order_over_chunks_and_batches(spark, tmp_path):
+    from textlake.operators.ops import connectivity_events
+    from textlake.streaming.streams import connectivity_stream
+    probe = """select id, if(id % 5 = 0, null, 'k') as key, timestamp_seconds(1700000000 + id) as ts, hash(id, 7) % 3 <> 0 as ok
+      from range(400) where {} order by hash(id)"""
+    files = [probe.format(w) for w in ("id < 100 and id % 3 > 0", "id < 200 and (id % 3 = 0 or id >= 100)", "id >= 200")]
+    end = "select -1L as id, 'end' as key, timestamp_seconds(1700009000) as ts, true as ok"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        out = _finish(connectivity_stream(_arrivals(spark, f"{tmp_path}/in", [*files, end]), "150 seconds"), tmp_path)
+        got = sorted(map(repr, out.select("key", "id", "seq", "event_type").collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    batch = connectivity_events(spark.sql(probe.format("true"))).select("key", "id", "seq", "event_type")
+    assert got == sorted(map(repr, batch.collect()))
+
+
+def test_stream_gives_late_rows_out_and_retires(spark, tmp_path):
+    from textlake.streaming.streams import connectivity_stream, lockout_stream
+    row = "select {0}L as id, 'k' as key, timestamp_seconds({1}) as ts, {2} as ok"
+    files = [row.format(1, 1000, "false"), row.format(2, 5000, "false"), row.format(3, 9000, "true"),
+             row.format(4, 900, "true"), row.format(5, 9500, "true"), row.format(6, 90000, "true")]
+    out = _finish(connectivity_stream(_arrivals(spark, f"{tmp_path}/in", files), "10 seconds", 2_000_000), tmp_path)
+    # the silence before 2 and 3 retires the key each time
+    assert sorted((r.id, r.event_type) for r in out.collect()) == [(1, "disconnect"), (2, "disconnect"), (4, "late")]
+    row = "select {0}L as id, timestamp_seconds({1}) as ts, 'A' as username, 'ip' as client_ip, false as success"
+    files = [" union all ".join(row.format(i, 1000 + 10 * i) for i in (4, 2, 0, 3, 1)),
+             row.format(5, 1100), row.format(6, 8000), row.format(7, 1000), row.format(8, 50000)]
+    other = tmp_path / "other"
+    out = _finish(lockout_stream(_arrivals(spark, f"{other}/in", files), "10 seconds"), other)
+    assert [r.outcome for r in out.orderBy("id").collect()] == ["failed"] * 4 + ["locked", "rejected", "failed", "late"]
+
+
+def test_watch_reads_changed_files_again(spark, tmp_path):
+    from textlake.streaming.streams import WatchTables, watch_files
+    corpus = spark.createDataFrame([], "doc_id string, title string, all_text string, content_hash string")
+    tables = WatchTables(*(f"{tmp_path}/{n}" for n in ("state", "documents", "outcomes", "summaries", "checkpoint")))
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def run() -> dict[str, str]:
+        before = {tuple(r) for r in spark.read.parquet(tables.outcomes).select("in_id", "batch").collect()} if (tmp_path / "outcomes").exists() else set()
+        watch_files(spark, str(folder), corpus, tables).awaitTermination()
+        rows = spark.read.parquet(tables.outcomes).collect()
+        return {r.file_name: r.reason for r in rows if (r.in_id, r.batch) not in before}
+
+    (folder / "a.txt").write_text("first text")
+    (folder / "b.txt").write_text("second text")
+    assert run() == {"a.txt": "indexed", "b.txt": "indexed"}
+    os.utime(folder / "a.txt", (2_000_000_000, 2_000_000_000))
+    (folder / "c.txt").write_text("second text")
+    got = run()
+    assert got.get("c.txt") == "content_hash" and got.get("a.txt", "same_hash") == "same_hash"
