@@ -320,6 +320,41 @@ def d11(t: Tables) -> DataFrame:
     return out.withColumn("rank", F.col("rank").cast("long")).withColumn("new_rank", F.col("new_rank").cast("long"))
 
 
+SECOND = dict(
+    searched=f"""select query from logs where created_at >= {NOW} - interval 14 day
+union all select trim(query) from requests where trim(query) <> ''""",
+    hot="select query from searched group by query order by count(*) desc, query limit 200",
+    first10="""select qid, doc_id, score, title, all_text, row_number() over (partition by qid order by score desc, indexed_at desc, doc_id) as rank
+from hits qualify rank <= 10""",
+    second="""select qid, doc_id, title, score, rank, new_score, row_number() over (partition by qid order by new_score desc, rank) as new_rank from (
+  select f.*, round(f.score
+    + case when contains(lower(f.title), lower(trim(r.query))) then 0.35 else 0.0 end
+    + case when contains(lower(f.all_text), lower(trim(r.query))) then 0.15 else 0.0 end
+    + case when lower(trim(r.query)) in (select lower(query) from hot) then 0.10 else 0.0 end, 6) as new_score
+  from first10 f join requests r using (qid))""",
+)
+
+
+def second_ranking(t: Tables) -> DataFrame:
+    """The first page of the hybrid search, ranked again with what the log of the last 14
+    days, these requests included, shows as popular."""
+    path = f"{shared_dir(t.spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    asked = t.requests.select(
+        F.lit("").alias("user_id"), "query", F.lit(0).cast("long").alias("total_hits"),
+        F.lit(AS_OF).cast("timestamp").alias("created_at"))
+    ql.save_search_logs(t.logs.select(asked.columns).unionByName(asked), path)
+    hot = ql.popular_keywords(ql.read_search_logs(t.spark, path, AS_OF, days=14), AS_OF, 14, 200)
+    page = se.top_hits(_hits(t), 10).select("qid", "doc_id", "score", "rank").join(t.requests.select("qid", "query"), "qid")
+    return se.rerank(page, t.docs, hot)
+
+
+@query("d11_second_ranking", sql(
+    "select qid, doc_id, score, rank, new_score, new_rank from second", *SEARCH_TABLES, "logs", **HITS, **SECOND))
+def d11_second(t: Tables) -> DataFrame:
+    return second_ranking(t).withColumn("rank", F.col("rank").cast("long")).withColumn(
+        "new_rank", F.col("new_rank").cast("long"))
+
+
 @query("d12_strict_hits", sql("""
 select qid, count(distinct doc_id) as strict_hits from requests left join (select * from matches where phrase_tf > 0) using (qid) group by 1""",
     "docs", "requests", **match_ctes(QUERY_KEYWORDS)))
