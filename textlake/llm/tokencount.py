@@ -29,10 +29,9 @@ def tokenizer_digest(path: str) -> str:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """All stored counts; none where nothing was stored yet."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
-    return spark.read.schema(CACHE_SCHEMA).parquet(path) if there else spark.createDataFrame([], CACHE_SCHEMA)
+    """All stored counts. Where nothing was stored yet, an empty cache is laid down."""
+    spark.createDataFrame([], CACHE_SCHEMA).write.mode("ignore").parquet(path)
+    return spark.read.schema(CACHE_SCHEMA).parquet(path)
 
 
 def encode_counts(texts: DataFrame, path: str) -> DataFrame:
