@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import corpus as co
 from ..operators.dictionary import ingest_dictionary, upsert_dictionary
-from ..session import materialize
+from ..session import materialize, shared_dir
 from ..sources import files as fi
 from ..sources.adapters import AS_OF, TEXT_RULES, Tables
 from ..sources.sql import rows_to_documents
@@ -26,10 +28,22 @@ def a3(t: Tables) -> DataFrame:
     return rows_to_documents(rows, "parts", "title", ["p_brand", "p_partkey"])
 
 
-@query("a4_read_files")
+@query("a4_read_files", """
+select lang || '/' || cast(doc_id // 100 as varchar) as folder, 'txt' as file_ext, sum(strlen(text) + 1)::bigint as length,
+  sha256(string_agg(text || chr(10), '' order by doc_id, text)) as digest
+from documents where text is not null and lang is not null group by lang, doc_id // 100""")
 def a4(t: Tables) -> DataFrame:
-    """The stored tables' own files."""
-    return fi.read_files(t.spark, t.directory, ["parquet"]).select("file_name", "file_ext", "length")
+    """The documents written out as text files in nested folders, with other files
+    beside them, and read back."""
+    root = f"{shared_dir(t.spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    texts = t("documents").filter("text is not null and lang is not null").select(
+        "lang", F.expr("doc_id div 100").alias("slot"), "doc_id", F.col("text").alias("value"))
+    filed = texts.repartition("lang", "slot").sortWithinPartitions("lang", "slot", "doc_id", "value")
+    filed.select("lang", "slot", "value").write.partitionBy("lang", "slot").text(root)
+    texts.select("lang", "slot", "doc_id").write.mode("append").partitionBy("lang", "slot").csv(root)
+    files = fi.read_files(t.spark, root, ["txt"])
+    folder = F.concat_ws("/", *[F.regexp_extract("path", f"/{c}=([^/]*)/", 1) for c in ("lang", "slot")])
+    return files.select(folder.alias("folder"), "file_ext", "length", F.sha2("content", 256).alias("digest"))
 
 
 @query("a5_decode_text", "select doc_id, text from documents")
