@@ -1,11 +1,11 @@
-"""The pipeline's near-dedup by five-word shingles."""
+"""The pipeline's near-dedup by five-word shingles, and decisions row by row."""
 
 from __future__ import annotations
 
 import numpy as np
 
 import corpus_pipeline
-from textlake.llm import minhash, simhash
+from textlake.llm import decontam, minhash, simhash
 
 from .conftest import DIR
 
@@ -49,3 +49,36 @@ def test_candidates_do_not_grow_with_the_square_of_a_group(spark):
     nodes = minhash.sign(docs).selectExpr("row as node", "size", "bands")
     assert minhash.candidates(nodes).count() <= 400 * minhash.BANDS * minhash.BEFORE
     assert [r["doc_id"] for r in minhash.keep_one(table(spark, rows)).collect()] == [0]
+
+
+def test_near_dedup_leaves_one_row_of_each_group(spark):
+    a, b = " ".join(f"a{k}" for k in range(80)), " ".join(f"b{k}" for k in range(80))
+    c, d = " ".join(f"c{k}" for k in range(80)), " ".join(f"d{k}" for k in range(80))
+    rows = [(None, a), (7, a), (7, a), (None, b), (None, b), (3, c), (3, d), (5, d), (None, None), (9, " "), (8, "short"), (8, "text")]
+    left = corpus_pipeline.near_dedup(spark, table(spark, rows), DIR)
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted(
+        [(7, a), (None, b), (3, c), (3, d), (9, " "), (8, "short"), (8, "text")], key=repr)
+
+
+def test_stages_decide_by_row_and_not_by_id(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").where("text is not null").first()["text"]
+    left = docs
+    for stage in (corpus_pipeline.language, corpus_pipeline.rules, corpus_pipeline.decontaminate):
+        left = stage(spark, left, DIR)
+    good = left.orderBy("doc_id").first()
+    bad = {"language": "12345 !!", "rules": "too short", "decontaminate": f"{good['text']} {item}"}
+    for name, text in bad.items():
+        more = docs.where("doc_id <> {}".format(good["doc_id"])).union(table(spark, [
+            (None, good["text"]), (None, good["text"]), (None, text), (good["doc_id"], good["text"]), (good["doc_id"], text)]))
+        kept = getattr(corpus_pipeline, name)(spark, more, DIR)
+        assert kept.columns == docs.columns
+        mine = [(r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] in (None, good["doc_id"])]
+        assert sorted(mine, key=repr) == sorted([(None, good["text"])] * 2 + [(good["doc_id"], good["text"])], key=repr), name
+
+
+def test_clean_rows_of_several_blocks(spark):
+    docs = table(spark, [(1, "a cat sat here"), (1, "nothing of that"), (None, "a dog ran"), (None, None)])
+    bench = spark.createDataFrame([(str(k), t) for k, t in enumerate(["cat sat", "dog ran", "x y", "z w"])], "item_id string, text string")
+    left = decontam.keep_clean(docs, bench, block_bytes=8)
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == [(1, "nothing of that"), (None, None)]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,17 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = SLICE_BYTE
                 yield batch.slice(a, b - a)
 
 
+def filtered(docs: DataFrame, test: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
+    """The rows of `docs` that pass, with all columns. `test` is called once in each task and
+    gives a function from rows to booleans; every row is decided by itself, whatever its
+    id, and nothing is joined."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = test()
+        for part in slices(batches, "text"):
+            yield part.filter(pa.array(passes(part), pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Maximal runs of bytes other than space, tab, line feed, vertical tab, form feed
     and carriage return."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, raw, slices
+from .common import filtered, kept, raw, slices
 
 WINDOW = 10
 # normalised item bytes of one automaton; a larger benchmark takes several, one after the other
@@ -124,6 +124,24 @@ def scan(docs: DataFrame, items: list[tuple[str, bytes | None]], size: int) -> D
     return docs.select("row", "doc_id", "text").mapInArrow(run, f"row bigint, doc_id {kind}, {SCHEMA}")
 
 
+def collected(block: DataFrame) -> list[tuple[str, bytes]]:
+    return [(r["item_id"] or "", r["text"].encode()) for r in block.collect()]
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs` in whose text no item has a window, as in decontaminate()."""
+    blocks = blocks_of(benchmark, block_bytes)
+    for block in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(collected(block))
+
+        def test(shared=shared) -> Callable[[pa.RecordBatch], np.ndarray]:
+            automaton = build(shared.value, size)
+            return lambda part: np.array([Hits(t, automaton).n_hit == 0 for t in raw(part.column("text"))], bool)
+
+        docs = filtered(docs, test) if len(blocks) == 1 else kept(filtered(docs, test), "clean")
+    return docs
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans) for every row of `docs`.
@@ -140,8 +158,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     results = []
     blocks = blocks_of(benchmark, block_bytes)
     for block in blocks:
-        items = [(r["item_id"] or "", r["text"].encode()) for r in block.collect()]
-        got = scan(numbered, items, size)
+        got = scan(numbered, collected(block), size)
         results.append(got if len(blocks) == 1 else kept(got, "hits"))
     if len(results) == 1:
         return results[0].drop("row")

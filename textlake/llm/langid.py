@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lanes
-from .common import slices
+from .common import filtered, slices
 
 UNKNOWN = "und"
 # bounds of the sample an automaton is built from
@@ -148,6 +148,43 @@ def sample(train: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS,
     return out
 
 
+def guess(known: Model, direct: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each text's language in `known.languages`, one past the last where there
+    is none, and the score."""
+    text = pc.fill_null(column, "")
+    n = len(text)
+    sizes = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+    symbols = direct[code_points("".join(text.to_pylist()))]
+    keep = symbols > 0
+    keep[1:] |= symbols[:-1] > 0
+    ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
+    total = np.concatenate([[0], np.cumsum(symbols > 0)])[np.concatenate([[0], np.cumsum(sizes)])]
+    best, score = np.full(n, len(known.languages)), np.zeros(n)
+    some = np.flatnonzero((np.diff(total) > 0) & bool(known.languages))
+    if len(some):
+        rates = known.rates(symbols[keep], ends[:-1][some], np.diff(ends)[some])
+        best[some] = rates.argmin(axis=0)
+        two = np.sort(rates, axis=0)
+        score[some] = 1.0 if len(two) == 1 else np.clip(1 - two[0] / two[1], 0, 1)
+    return best, score
+
+
+def keep_clear(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of `docs` with a language and a score of at least `least`, as in identify()."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def test() -> Callable[[pa.RecordBatch], np.ndarray]:
+        known = shared.value
+        direct = known.direct()
+
+        def passes(part: pa.RecordBatch) -> np.ndarray:
+            best, score = guess(known, direct, part.column("text"))
+            return (best < len(known.languages)) & (score >= least)
+        return passes
+
+    return filtered(docs, test)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of `docs`.
 
@@ -164,21 +201,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         direct = known.direct()
         names = np.array([*known.languages, UNKNOWN], object)
         for part in slices(batches, "text"):
-            text = pc.fill_null(part.column("text"), "")
-            n = len(text)
-            sizes = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
-            symbols = direct[code_points("".join(text.to_pylist()))]
-            keep = symbols > 0
-            keep[1:] |= symbols[:-1] > 0
-            ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
-            total = np.concatenate([[0], np.cumsum(symbols > 0)])[np.concatenate([[0], np.cumsum(sizes)])]
-            best, score = np.full(n, len(known.languages)), np.zeros(n)
-            some = np.flatnonzero((np.diff(total) > 0) & bool(known.languages))
-            if len(some):
-                rates = known.rates(symbols[keep], ends[:-1][some], np.diff(ends)[some])
-                best[some] = rates.argmin(axis=0)
-                two = np.sort(rates, axis=0)
-                score[some] = 1.0 if len(two) == 1 else np.clip(1 - two[0] / two[1], 0, 1)
+            best, score = guess(known, direct, part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score)],
                 names=["doc_id", "lang_pred", "score"])

@@ -3,7 +3,7 @@ boilerplate, and the share of content decides whether a document stays."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, slices
+from .common import filtered, raw, slices
 
 # bounds of the sample the field is fitted on
 TRAIN_DOCS = 600
@@ -254,6 +254,28 @@ COLUMNS = (("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigin
            ("content_share", "double"), ("content_lines", "array<int>"))
 
 
+def rules(lines: Lines, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The share of words in the given content lines, and whether the base rules fail."""
+    share = np.bincount(lines.doc[content], lines.words[content], lines.n_docs) / np.maximum(lines.n_words, 1)
+    return share, (lines.n_words < MIN_WORDS) | (100 * lines.n_repeat_words > 50 * lines.n_words)
+
+
+def keep_good(docs: DataFrame, field: Field, min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows of `docs` that judge() keeps."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def test() -> Callable[[pa.RecordBatch], np.ndarray]:
+        chain = shared.value
+
+        def passes(part: pa.RecordBatch) -> np.ndarray:
+            lines = Lines(raw(part.column("text")))
+            share, failed = rules(lines, lines.lines[chain.decode(lines)])
+            return ~failed & (share >= min_share)
+        return passes
+
+    return filtered(docs, test)
+
+
 def judge(docs: DataFrame, field: Field, min_share: float = MIN_SHARE) -> DataFrame:
     """One row for every row of `docs`: its id, the counts of the rules, whether the base
     rules fail (under 50 words, or over half of the words in repeated windows), whether
@@ -271,8 +293,7 @@ def judge(docs: DataFrame, field: Field, min_share: float = MIN_SHARE) -> DataFr
             lines = Lines(raw(part.column("text")))
             content = chain.decode(lines)
             mine = lines.lines[content]
-            share = np.bincount(lines.doc[mine], lines.words[mine], lines.n_docs) / np.maximum(lines.n_words, 1)
-            failed = (lines.n_words < MIN_WORDS) | (100 * lines.n_repeat_words > 50 * lines.n_words)
+            share, failed = rules(lines, mine)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(lines.doc[mine], minlength=lines.n_docs))])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in (
