@@ -41,6 +41,35 @@ def count_marks(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, tabl
     return marks
 
 
+def place(row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The key of a sparse arc; symbols are fewer than code points."""
+    return row.astype(np.int64) << 21 | symbol
+
+
+def count_sparse_marks(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, table: np.ndarray, width: int,
+                       opening: np.ndarray, places: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """As count_marks(), under one automaton whose table holds the symbols below `width`. A
+    later symbol takes the arc found in the sorted `places`, else that of `opening`."""
+    at = np.zeros(len(start), np.uint32)
+    marks = np.zeros(len(start), np.uint32)
+    for step, n in enumerate(active(length)):
+        symbol = symbols[start[:n] + step]
+        rare = np.flatnonzero(symbol >= width)
+        symbol_in = symbol.copy()
+        symbol_in[rare] = 1
+        got = table[at[:n] + symbol_in]
+        if len(rare):
+            got[rare] = opening[symbol[rare]]
+            if len(places):
+                wanted = place(at[rare], symbol[rare])
+                near = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
+                hit = places[near] == wanted
+                got[rare[hit]] = after[near[hit]]
+        marks[:n] += got >> np.uint32(31)
+        at[:n] = got & np.uint32(0x7FFFFFFF)
+    return marks
+
+
 def weights(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, arcs: np.ndarray, warm: int) -> np.ndarray:
     """The weight of the arc each symbol takes along its lane, from state 0; zero outside
     lanes. The first `warm` symbols of a lane move the state and do not count. Entry

@@ -20,7 +20,7 @@ SAMPLE_DOCS = 64
 SAMPLE_CHARS = 2_048
 TRAIN_CHARS = 32_768
 MAX_LANGUAGES = 64
-# symbols: 0 for anything but letters, 1 for letters the sample lacks, then letters
+# symbols of a language that have a column in its table; the arcs of all others are sparse
 WIDTH = 64
 LANE = 512
 TOP = np.uint32(1 << 31)
@@ -42,68 +42,95 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions of the smallest automaton of all substrings: a row per state, -1
-    where there is none; state 0 is the start."""
-    size = 2 * len(symbols) + 2
-    step = np.full((size, width), -1, np.int32)
-    link, longest = [-1] * size, [0] * size
-    last, count = 0, 1
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """The arcs of the smallest automaton of all substrings, state by state; state 0 is the
+    start."""
+    step: list[dict[int, int]] = [{}]
+    link, longest = [-1], [0]
+    last = 0
     for c in symbols:
-        new, count = count, count + 1
-        longest[new] = longest[last] + 1
+        new = len(step)
+        step.append({})
+        longest.append(longest[last] + 1)
+        link.append(0)
         p = last
-        while p >= 0 and step[p, c] < 0:
-            step[p, c] = new
+        while p >= 0 and c not in step[p]:
+            step[p][c] = new
             p = link[p]
-        if p < 0:
-            link[new] = 0
-        else:
-            q = int(step[p, c])
+        if p >= 0:
+            q = step[p][c]
             if longest[p] + 1 == longest[q]:
                 link[new] = q
             else:
-                copy, count = count, count + 1
-                longest[copy] = longest[p] + 1
-                step[copy] = step[q]
-                link[copy] = link[q]
-                while p >= 0 and step[p, c] == q:
-                    step[p, c] = copy
+                copy = len(step)
+                step.append(dict(step[q]))
+                longest.append(longest[p] + 1)
+                link.append(link[q])
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return step[:count]
+    return step
+
+
+class Automaton:
+    """The suffix automaton of one language's sample, completed for parsing: an arc that
+    opens a phrase is marked. Where a phrase cannot be prolonged, the arc leads to where the
+    next one goes on after its first symbol; a symbol the sample lacks is a phrase alone.
+
+    Its symbols are its own: 0 for anything but letters, 1 for letters the sample lacks,
+    then all letters of the sample, the frequent ones first. Rows of the table hold the first
+    WIDTH symbols; arcs of later ones are kept sparsely, sorted by row and symbol."""
+
+    def __init__(self, run: np.ndarray, symbols: int) -> None:
+        seen, counts = np.unique(run[run > 0], return_counts=True)
+        own = seen[np.lexsort((seen, -counts))]
+        self.key = np.ones(symbols, np.uint32)
+        self.key[0] = 0
+        self.key[own] = np.arange(2, 2 + len(own))
+        step = suffix_automaton(self.key[run].tolist())
+        width = min(WIDTH, len(own) + 2)
+        state = np.repeat(np.arange(len(step)), [len(s) for s in step])
+        symbol = np.fromiter((c for s in step for c in s), np.int64, len(state))
+        after = np.fromiter((q for s in step for q in s.values()), np.int64, len(state)) * width
+        first = np.zeros(len(own) + 2, np.int64)
+        first[symbol[state == 0]] = after[state == 0]
+        self.opening = (first + int(TOP)).astype(np.uint32)
+        table = np.tile(self.opening[:width], (len(step), 1))
+        inner = (state > 0) & (symbol < width)  # at the start every symbol opens a phrase
+        table[state[inner], symbol[inner]] = after[inner]
+        self.table = table.ravel()
+        rare = (state > 0) & (symbol >= width)
+        places = lanes.place(state[rare] * width, symbol[rare])
+        order = np.argsort(places)
+        self.places, self.after = places[order], after[rare][order].astype(np.uint32)
+        self.width = width
+        self.bits = np.log2(len(run) + 1) if len(run) else np.inf
+
+    def phrases(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The number of phrases of each lane."""
+        own = self.key[symbols]
+        if len(self.opening) == self.width:
+            return lanes.count_marks(own, start, length, self.table, np.zeros(1, np.uint32))[0]
+        return lanes.count_sparse_marks(own, start, length, self.table, self.width, self.opening, self.places, self.after)
 
 
 class Model:
-    """One suffix automaton per language, completed for parsing: an arc that opens a
-    phrase is marked. Where a phrase cannot be prolonged, the arc leads to where the next
-    one goes on after its first symbol; a symbol the sample lacks is a phrase alone."""
+    """One automaton per language. Texts become symbols of all samples together: 0 for
+    anything but letters, 1 for letters no sample has, then all letters of the samples."""
 
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.languages = sorted(samples)
         streams = {k: letters()[code_points(" ".join(samples[k]))] for k in self.languages}
-        seen, counts = np.unique(np.concatenate([*streams.values(), np.zeros(1, np.uint32)]), return_counts=True)
-        order = np.lexsort((seen, -counts))
-        alphabet = [c for c in seen[order].tolist() if c][: WIDTH - 2]
-        self.alphabet = np.array(alphabet, np.uint32)
-        tables, roots, bits, base = [], [], [], 0
-        for k in self.languages:
-            run = squeeze(self.symbols(streams[k]))[:TRAIN_CHARS]
-            step = suffix_automaton(run.tolist(), WIDTH).astype(np.int64)
-            first = np.where(step[0] < 0, 0, step[0])
-            full = np.where(step < 0, first * WIDTH + base + int(TOP), step * WIDTH + base)
-            full[0] = first * WIDTH + base + int(TOP)  # at the start every symbol opens a phrase
-            tables.append(full.astype(np.uint32).ravel())
-            roots.append(base)
-            bits.append(np.log2(len(run) + 1) if len(run) else np.inf)
-            base += step.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.uint32)
-        self.roots = np.array(roots, np.uint32)
-        self.bits = np.array(bits)
+        seen = np.unique(np.concatenate([*streams.values(), np.zeros(1, np.uint32)]))
+        self.alphabet = seen[seen > 0]
+        self.automata = [
+            Automaton(squeeze(self.symbols(streams[k]))[:TRAIN_CHARS], len(self.alphabet) + 2) for k in self.languages]
+        self.bits = np.array([a.bits for a in self.automata])
 
     def symbols(self, lowered: np.ndarray) -> np.ndarray:
-        key = np.zeros(0x110000, np.uint8)
+        key = np.zeros(0x110000, np.uint32)
         key[1:] = 1
         key[self.alphabet] = np.arange(2, 2 + len(self.alphabet))
         return key[lowered]
@@ -115,8 +142,7 @@ class Model:
     def rates(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Bits per symbol of each text (columns) under each language (rows)."""
         owner, start, length = lanes.cut(starts, lengths, LANE)
-        marks = lanes.count_marks(symbols, start, length, self.table, self.roots)
-        phrases = np.stack([np.bincount(owner, row, len(starts)) for row in marks])
+        phrases = np.stack([np.bincount(owner, a.phrases(symbols, start, length), len(starts)) for a in self.automata])
         return phrases * self.bits[:, None] / np.maximum(lengths, 1)
 
 
