@@ -53,3 +53,12 @@ def test_rare_letters_are_parsed_exactly():
             stream = langid.squeeze(model.symbols(langid.letters()[langid.code_points(" ".join(samples[lang]))]))
             corpus, shown = ("".join(chr(33 + s) for s in x) for x in (stream, symbols))
             assert round(rates[k] * len(symbols) / model.bits[k]) == plain_phrases(shown, corpus)
+
+
+def test_copies_do_not_push_a_language_out(spark):
+    words = " ".join(f"word{chr(97 + k % 26)}" for k in range(30))
+    hot = spark.range(20_000).selectExpr("'a' as lang", f"'{words}' as text")
+    few = spark.createDataFrame([("a", f"text number {chr(97 + k)} alone") for k in range(3)] + [("b", "12 !"), ("b", "un texte")], "lang string, text string")
+    samples = langid.sample(hot.union(few))
+    assert {k: sorted(t) for k, t in samples.items()} == {
+        "a": sorted([words, *(f"text number {chr(97 + k)} alone" for k in range(3))]), "b": ["un texte"]}

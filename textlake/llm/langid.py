@@ -155,22 +155,22 @@ def squeeze(symbols: np.ndarray) -> np.ndarray:
 
 def sample(train: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS,
            languages: int = MAX_LANGUAGES) -> dict[str, list[str]]:
-    """Up to `docs` different labelled texts of each of the most frequent `languages`,
-    picked by the hash of the text, up to `chars` characters of each from a place picked
-    by hash too. Only this bounded sample comes to the driver."""
-    rows = train.where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 8.0 * docs / r["count"]))])
-    h = F.xxhash64("text")
-    thin = rows.where(F.pmod(h, F.lit(1 << 20)) <= F.try_element_at(share, F.col("lang")) * (1 << 20))
-    place = F.pmod(h, F.greatest(F.length("text") - chars, F.lit(1))) + 1
-    cut = thin.select("lang", h.alias("h"), F.substring(F.col("text"), place.cast("int"), F.lit(chars)).alias("text")).distinct()
-    ranked = cut.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
+    """Up to `docs` different labelled texts of each of the `languages` with the most
+    different texts: those with the smallest hashes, copies counted once, up to `chars`
+    characters of each from a place picked by hash too. Texts without a letter are left out.
+    Only this bounded sample comes to the driver."""
+    rows = train.where("lang is not null").where(F.col("text").rlike("\\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    hashes = rows.select("lang", "h").distinct()
+    counts = hashes.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    ranked = hashes.join(counts, "lang", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    picked = ranked.where(F.col("n") <= docs).select("lang", "h")
+    place = F.pmod(F.col("h"), F.greatest(F.length("text") - chars, F.lit(1))) + 1
+    cut = rows.join(F.broadcast(picked), ["lang", "h"]).select(
+        "lang", "h", F.substring(F.col("text"), place.cast("int"), F.lit(chars)).alias("text")).distinct()
     out: dict[str, list[str]] = {}
-    for r in ranked.where(F.col("n") <= docs).orderBy("lang", "n").collect():
-        out.setdefault(r["lang"], []).append(r["text"])
+    for r in cut.orderBy("lang", "h", "text").collect():
+        if len(mine := out.setdefault(r["lang"], [])) < docs:
+            mine.append(r["text"])
     return out
 
 
