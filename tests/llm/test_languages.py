@@ -62,3 +62,30 @@ def test_copies_do_not_push_a_language_out(spark):
     samples = langid.sample(hot.union(few))
     assert {k: sorted(t) for k, t in samples.items()} == {
         "a": sorted([words, *(f"text number {chr(97 + k)} alone" for k in range(3))]), "b": ["un texte"]}
+
+
+def test_every_language_is_learned_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = {f"l{k:02}": words_in(rng, span(97, 122)) for k in range(70)}
+    rows = [(k, t) for k, w in words.items() for t in texts_in(rng, w, 3)]
+    samples = langid.sample(spark.createDataFrame(rows, "lang string, text string"))
+    assert sorted(samples) == sorted(words)
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate((k, texts_in(rng, w, 1)[0]) for k, w in words.items())] + [(70, "1", "")],
+                                 "doc_id int, text string, other string").coalesce(2)
+    whole = langid.Model(samples)
+    assert len(whole.blocks()) == 1
+    want = sorted(langid.identify(docs, whole).collect())
+    assert [r["lang_pred"] for r in want] == [*sorted(words), langid.UNKNOWN]
+    monkeypatch.setattr(langid, "BLOCK_CHARS", sum(len(t) + 1 for s in samples.values() for t in s) // 3)
+    model = langid.Model(samples)
+    assert 3 <= len(model.blocks()) <= 4
+    assert sorted(langid.identify(docs, model).collect()) == want
+    kept = langid.keep_clear(docs, model, 0.01)
+    assert kept.columns == docs.columns and kept.count() == 70
+
+
+def test_the_whole_sample_is_used():
+    rng = np.random.default_rng(8)
+    text = "".join(rng.choice(list("abcdefgh "), langid.SAMPLE_CHARS * langid.SAMPLE_DOCS))
+    model = langid.Model({"a": [text]})
+    assert round(2 ** model.bits[0]) - 1 == len(langid.squeeze(model.symbols(langid.letters()[langid.code_points(text)])))

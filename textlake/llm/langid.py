@@ -10,16 +10,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import lanes
-from .common import filtered, slices
+from .common import kept, slices
 
 UNKNOWN = "und"
 # bounds of the sample an automaton is built from
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 2_048
-TRAIN_CHARS = 32_768
-MAX_LANGUAGES = 64
+# sample characters of the languages whose automata travel together: six whole samples
+BLOCK_CHARS = 6 * SAMPLE_DOCS * (SAMPLE_CHARS + 1)
 # symbols of a language that have a column in its table; the arcs of all others are sparse
 WIDTH = 64
 LANE = 512
@@ -122,12 +123,40 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.languages = sorted(samples)
-        streams = {k: letters()[code_points(" ".join(samples[k]))] for k in self.languages}
-        seen = np.unique(np.concatenate([*streams.values(), np.zeros(1, np.uint32)]))
-        self.alphabet = seen[seen > 0]
-        self.automata = [
-            Automaton(squeeze(self.symbols(streams[k]))[:TRAIN_CHARS], len(self.alphabet) + 2) for k in self.languages]
-        self.bits = np.array([a.bits for a in self.automata])
+        self.samples = samples
+
+    def blocks(self) -> list[Model]:
+        """Models of bounded size, each of some languages, in the order of their names."""
+        blocks: list[dict[str, list[str]]] = [{}]
+        size = 0
+        for k in self.languages:
+            own = sum(len(t) + 1 for t in self.samples[k])
+            if blocks[-1] and size + own > BLOCK_CHARS:
+                blocks.append({})
+                size = 0
+            blocks[-1][k] = self.samples[k]
+            size += own
+        return [self] if len(blocks) == 1 else [Model(b) for b in blocks]
+
+    def streams(self) -> list[np.ndarray]:
+        return [letters()[code_points(" ".join(self.samples[k]))] for k in self.languages]
+
+    @functools.cached_property
+    def alphabet(self) -> np.ndarray:
+        seen = np.unique(np.concatenate([*self.streams(), np.zeros(1, np.uint32)]))
+        return seen[seen > 0]
+
+    @functools.cached_property
+    def automata(self) -> list[Automaton]:
+        return [Automaton(squeeze(self.symbols(s)), len(self.alphabet) + 2) for s in self.streams()]
+
+    @functools.cached_property
+    def bits(self) -> np.ndarray:
+        return np.array([a.bits for a in self.automata])
+
+    def build(self) -> Model:
+        self.bits  # noqa: B018
+        return self
 
     def symbols(self, lowered: np.ndarray) -> np.ndarray:
         key = np.zeros(0x110000, np.uint32)
@@ -153,16 +182,14 @@ def squeeze(symbols: np.ndarray) -> np.ndarray:
     return symbols[keep]
 
 
-def sample(train: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS,
-           languages: int = MAX_LANGUAGES) -> dict[str, list[str]]:
-    """Up to `docs` different labelled texts of each of the `languages` with the most
-    different texts: those with the smallest hashes, copies counted once, up to `chars`
-    characters of each from a place picked by hash too. Texts without a letter are left out.
-    Only this bounded sample comes to the driver."""
+def sample(train: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
+    """Up to `docs` different labelled texts of each language: those with the smallest
+    hashes, copies counted once, up to `chars` characters of each from a place picked by
+    hash too. Texts without a letter are left out. Only this sample, bounded for each
+    language, comes to the driver."""
     rows = train.where("lang is not null").where(F.col("text").rlike("\\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
     hashes = rows.select("lang", "h").distinct()
-    counts = hashes.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    ranked = hashes.join(counts, "lang", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    ranked = hashes.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     picked = ranked.where(F.col("n") <= docs).select("lang", "h")
     place = F.pmod(F.col("h"), F.greatest(F.length("text") - chars, F.lit(1))) + 1
     cut = rows.join(F.broadcast(picked), ["lang", "h"]).select(
@@ -174,41 +201,74 @@ def sample(train: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS,
     return out
 
 
-def guess(known: Model, direct: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each text's language in `known.languages`, one past the last where there
-    is none, and the score."""
-    text = pc.fill_null(column, "")
+def parse(known: Model, direct: np.ndarray, part: pa.RecordBatch, rest: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's best language so far, None where there is none, and the best two rates,
+    after those of earlier blocks, which stand in the columns `rest`."""
+    text = pc.fill_null(part.column("text"), "")
     n = len(text)
+    if rest:
+        best = np.array(part.column(rest[0]).to_pylist(), object)
+        one, two = (part.column(c).to_numpy(zero_copy_only=False).copy() for c in rest[1:])
+    else:
+        best, one, two = np.full(n, None, object), np.full(n, np.inf), np.full(n, np.inf)
     sizes = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
     symbols = direct[code_points("".join(text.to_pylist()))]
     keep = symbols > 0
     keep[1:] |= symbols[:-1] > 0
     ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
     total = np.concatenate([[0], np.cumsum(symbols > 0)])[np.concatenate([[0], np.cumsum(sizes)])]
-    best, score = np.full(n, len(known.languages)), np.zeros(n)
     some = np.flatnonzero((np.diff(total) > 0) & bool(known.languages))
     if len(some):
-        rates = known.rates(symbols[keep], ends[:-1][some], np.diff(ends)[some])
-        best[some] = rates.argmin(axis=0)
-        two = np.sort(rates, axis=0)
-        score[some] = 1.0 if len(two) == 1 else np.clip(1 - two[0] / two[1], 0, 1)
-    return best, score
+        for name, rate in zip(known.languages, known.rates(symbols[keep], ends[:-1][some], np.diff(ends)[some]), strict=True):
+            better = rate < one[some]
+            two[some] = np.where(better, one[some], np.minimum(two[some], rate))
+            one[some] = np.minimum(one[some], rate)
+            best[some[better]] = name
+    return best, one, two
+
+
+def parsed(docs: DataFrame, model: Model, schema: str | StructType,
+           finish: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
+    """What `finish` makes of rows, their languages and scores. Automata travel in blocks of
+    bounded size; with several blocks, the rows are stored with the best two rates so far
+    before the next block is read."""
+    carried = ["carried_language", "carried_one", "carried_two"]
+    wide = StructType([*docs.schema.fields, *(StructField(c, t) for c, t in zip(
+        carried, (StringType(), DoubleType(), DoubleType()), strict=True))])
+    names = docs.columns
+    blocks = model.blocks()
+    for place, block in enumerate(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(block.build())
+        rest, last = carried if place else [], place == len(blocks) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, rest=rest, last=last) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            direct = known.direct()
+            for part in slices(batches, "text"):
+                best, one, two = parse(known, direct, part, rest)
+                if last:
+                    found = np.isfinite(one)
+                    score = np.where(found, 1 - np.where(found, one, 0) / np.where(found, two, 1), 0)
+                    yield finish(part, np.where(found, best, UNKNOWN), np.clip(score, 0, 1))
+                else:
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(c) for c in names), pa.array(best, pa.string()), pa.array(one), pa.array(two)],
+                        names=[*names, *carried])
+
+        docs = docs.mapInArrow(run, schema if last else wide)
+        if not last:
+            docs = kept(docs, "languages")
+    return docs
 
 
 def keep_clear(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows of `docs` with a language and a score of at least `least`, as in identify()."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
 
-    def test() -> Callable[[pa.RecordBatch], np.ndarray]:
-        known = shared.value
-        direct = known.direct()
+    def finish(part: pa.RecordBatch, best: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        return part.select(names).filter(pa.array((best != UNKNOWN) & (score >= least), pa.bool_()))
 
-        def passes(part: pa.RecordBatch) -> np.ndarray:
-            best, score = guess(known, direct, part.column("text"))
-            return (best < len(known.languages)) & (score >= least)
-        return passes
-
-    return filtered(docs, test)
+    return parsed(docs, model, docs.schema, finish)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -219,18 +279,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     rate. A null text or one without a letter is `und` with score 0, and so is every
     text when nothing was learned; ties go to the language that sorts first; one
     learned language alone scores 1; other columns are ignored."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        direct = known.direct()
-        names = np.array([*known.languages, UNKNOWN], object)
-        for part in slices(batches, "text"):
-            best, score = guess(known, direct, part.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score)],
-                names=["doc_id", "lang_pred", "score"])
+    def finish(part: pa.RecordBatch, best: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.array(best, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return parsed(docs.select("doc_id", "text"), model, f"doc_id {kind}, lang_pred string, score double", finish)
