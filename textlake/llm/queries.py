@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lmscore, packing, quality, shards, simhash, tokencount, urls, warc
+from . import decontam, langid, lmscore, negatives, packing, quality, resample, shards, simhash, tokencount, urls, warc
 from .common import arrow_batches, folder, remainder
 from .encoders import public
 
@@ -119,3 +119,38 @@ def op9_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a cache of its own for each run, so that every run encodes all distinct texts
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public("piece_bpe_32k.model"), folder(spark, "counts"))
+
+
+@query("op11_hard_negatives", """
+with sound as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, r.vec_id as id, a.label = r.label as same,
+    cast(list_inner_product(a.v, r.v) as bigint) as score
+  from sound a join sound r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+positives as (
+  select anchor_id, id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+found as (
+  select p.anchor_id, p.positive_id, s.id as negative_id, p.positive_score, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.id) as n
+  from positives p join scored s on s.anchor_id = p.anchor_id and not s.same
+    and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score)
+select anchor_id, positive_id, cast(n as integer) as rank, negative_id, positive_score, negative_score
+from found where n <= 10
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.mine_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+# DuckDB has no CRC-32, so the tests compare this query with a plain loop
+@query("op13_target_resampling")
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
