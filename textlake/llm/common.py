@@ -18,6 +18,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SLICE_BYTES = 4 << 20
 BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
+# of the bitmaps sent to all tasks: half a million words
+SIEVE_BITS = 1 << 25
 
 
 def arrow_batches(spark: SparkSession) -> None:
@@ -77,3 +79,25 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     path = folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _bits(key: str, bits: int) -> tuple[Column, Column]:
+    """The word and the bit of a key in a bitmap of `bits` bits, a power of two."""
+    at = F.col(key).bitwiseAND(F.lit(bits - 1).cast("long"))
+    return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
+
+def sieve(keys: DataFrame, key: str, bits: int = SIEVE_BITS) -> DataFrame:
+    """(word, mask): a bitmap of the low bits of all `keys`, of bits / 64 rows at most
+    whatever their number."""
+    word, bit = _bits(key, bits)
+    return kept(keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask")), "sieve")
+
+
+def sifted(rows: DataFrame, key: str, bitmap: DataFrame, name: str, bits: int = SIEVE_BITS) -> DataFrame:
+    """`rows` with a boolean `name`, false only where the key is surely not in the bitmap. The
+    bitmap is broadcast, so nothing is shuffled."""
+    word, bit = _bits(key, bits)
+    held = F.broadcast(bitmap.withColumnsRenamed({"word": "_word", "mask": "_mask"}))
+    found = rows.join(held, word == F.col("_word"), "left")
+    return found.withColumn(name, F.coalesce(F.col("_mask").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_mask")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lmscore, negatives, packing, quality, resample, shards, simhash, tokencount, urls, warc
+from . import decontam, jaccard, langid, lmscore, negatives, packing, quality, resample, shards, simhash, tokencount, urls, warc
 from .common import arrow_batches, folder, remainder
 from .encoders import public
 
@@ -149,6 +149,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
+# on whole tables all pairs of sets are too many for SQL, so the tests compare with all pairs
+@query("op12_jaccard_join")
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents"))
+
+
 # DuckDB has no CRC-32, so the tests compare this query with a plain loop
 @query("op13_target_resampling")
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
