@@ -376,14 +376,11 @@ def near_groups(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """`docs` with the file and the place in it of each row; rows that do not come from files
-    are stored first."""
-    try:
-        return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    except Exception as unknown:
-        if "_metadata" not in str(unknown):
-            raise
-        return kept(docs, "rows").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    """`docs` with the file and the place in it of each row. Anything but a plain read of files
+    is stored first, so that each row has a place of its own."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = kept(docs, "rows")
+    return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
