@@ -428,3 +428,65 @@ def test_watch_reads_changed_files_again(spark, tmp_path):
     (folder / "c.txt").write_text("second text")
     got = run()
     assert got.get("c.txt") == "content_hash" and got.get("a.txt", "same_hash") == "same_hash"
+
+
+def _one_by_one(rows):
+    titles, hashes, accepted = set(), set(), set()
+    for i, title, digest in rows:
+        if title in titles or (digest is not None and digest in hashes):
+            continue
+        titles.add(title)
+        hashes.add(digest)
+        accepted.add(i)
+    return accepted
+
+
+@pytest.mark.parametrize("shape", ["chain", "null_hashes", "hub", "mixed"])
+def test_rivals_are_settled_whatever_their_shape(spark, shape):
+    rng = random.Random(9)
+    rows = {
+        # every document shares a key with the one before and the one behind it
+        "chain": [(i, f"t{(i + 1) // 2}", f"h{i // 2}") for i in range(1000)],
+        "null_hashes": [(i, f"t{i % 7}", None if i % 3 else f"h{i % 5}") for i in range(60)],
+        "hub": [(i, "same" if i % 3 else f"t{i}", f"h{i % 40}") for i in range(400)],
+        "mixed": [(i, f"t{rng.randrange(120)}", rng.choice([None, f"h{rng.randrange(120)}"])) for i in range(400)],
+    }[shape]
+    frame = spark.createDataFrame([(i, t, "text", h) for i, t, h in rows], "in_id int, title string, all_text string, content_hash string")
+    want = _one_by_one(rows)
+    for rounds in (0, 2):
+        assert {r.in_id for r in co.accepted_in_batch(frame, rounds=rounds).collect()} == want
+
+
+def test_documents_without_content_are_indexed(spark):
+    none = spark.createDataFrame([], "doc_id string, title string, all_text string, content_hash string")
+    raw = spark.createDataFrame([(1, "a.txt", "one", None), (2, "b.txt", "two", b"x"), (3, "a.txt", "one", None), (4, "c.txt", "three", None)],
+                                "in_id int, file_name string, text string, content binary")
+    docs, outcomes = co.index_documents(raw, none, NOW)
+    assert {r.in_id: r.reason for r in outcomes.collect()} == {1: "indexed", 2: "indexed", 3: "in_batch", 4: "indexed"}
+    assert docs.filter("doc_id is null").count() == 0 and set(co.KEYS) <= set(docs.columns)
+    _, again = co.index_documents(raw, docs, NOW)
+    assert {r.in_id: r.reason for r in again.collect()} == {1: "title_and_content", 2: "title_and_content", 3: "title_and_content", 4: "title_and_content"}
+
+
+def test_a_legacy_digest_only_nominates(spark):
+    head = "가나다 same head " * 60
+    digest = spark.createDataFrame([(head, "t")], "all_text string, title string").select(co.content_digest("all_text", "title")).first()[0]
+    held = spark.createDataFrame([("a", "x", head + " one end", digest), ("b", "y", None, "other")], "doc_id string, title string, all_text string, content_hash string")
+    gone = held.withColumn("all_text", F.lit(None).cast("string"))
+    new = spark.createDataFrame([(1, "u", head + " one end!", "h1"), (2, "v", head + " another end", "h2")], "in_id int, title string, all_text string, content_hash string")
+    new = new.withColumn("legacy_hash", co.content_digest("all_text", "title"))
+    got = {r.in_id: (r.reason, r.match_id) for r in co.find_duplicates(new, held).collect()}
+    assert got == {1: ("legacy_digest", "a")}
+    # where no text is held, the digest is all there is
+    assert {r.in_id for r in co.find_duplicates(new, gone).collect()} == {1, 2}
+
+
+def test_stored_keys_spare_the_texts(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "t", "x y", "h")], "doc_id string, title string, all_text string, content_hash string")
+    co.duplicate_keys(docs).write.parquet(f"{tmp_path}/catalogue")
+    stored = spark.read.parquet(f"{tmp_path}/catalogue")
+    new = spark.createDataFrame([(1, "t", "xy!", "g")], "in_id int, title string, all_text string, content_hash string")
+    found = co.find_duplicates(new, stored)
+    assert [r.reason for r in found.collect()] == ["title_and_content"]
+    scans = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "parquet" in x]
+    assert scans and not any("all_text" in x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)

@@ -152,18 +152,16 @@ def a14(t: Tables) -> DataFrame:
     return co.unify_legacy_columns(docs)
 
 
-# One-by-one indexing in order of doc_id, unrolled: whoever is first under both keys is
-# accepted and removes its rivals, three times over.
-def _rounds(n: int) -> dict[str, str]:
-    ctes = {"open0": "select min(o) as o, a, b from fresh group by a, b"}
-    for i in range(n):
-        ctes[f"win{i}"] = (
-            f"select o, a, b from (select *, min(o) over (partition by a) as fa, min(o) over (partition by b) as fb from open{i}) "
-            "where o = fa and o = fb")
-        ctes[f"open{i + 1}"] = (
-            f"select * from open{i} where a not in (select a from win{i}) and b not in (select b from win{i})")
-    ctes["accepted"] = " union all ".join(f"select o from win{i}" for i in range(n))
-    return ctes
+# One-by-one indexing in order of doc_id, in as many rounds as it takes: of the rows still
+# open, whoever is first under both keys is accepted and removes its rivals.
+_RIVALS = {
+    "walk(o, a, b, win)": """
+select min(o), a, b, false from fresh group by a, b
+union all
+select o, a, b, o = min(o) over (partition by a) and o = min(o) over (partition by b) from (
+  select o, a, b from walk where not win and a not in (select a from walk where win) and b not in (select b from walk where win))""",
+    "accepted": "select distinct o from walk where win",
+}
 
 
 CLEAN = f"""
@@ -177,18 +175,19 @@ select page_id as doc_id, title, all_text, content_hash from (
 INDEXING = dict(
     clean=CLEAN, existing=EXISTING,
     usable="select * from clean where title like '%.txt' and all_text <> ''",
-    keyed=f"""select *, title || chr(1) || all_text as ke, title || chr(1) || {compact('all_text')} as kt,
+    keyed=f"""select *, title || chr(1) || all_text as ke, title || chr(1) || {compact('all_text')} as kt, {compact('all_text')} as whole,
   sha256(case when regexp_replace(left(all_text, 500), '[^가-힣a-zA-Z0-9]', '', 'g') <> ''
     then regexp_replace(left(all_text, 500), '[^가-힣a-zA-Z0-9]', '', 'g')
     else regexp_replace(title, '[^가-힣a-zA-Z0-9]', '', 'g') end) as legacy_hash from usable""",
-    stored=f"select *, title || chr(1) || all_text as ke, title || chr(1) || {compact('all_text')} as kt from existing",
+    stored=f"""select *, title || chr(1) || all_text as ke, title || chr(1) || {compact('all_text')} as kt,
+  nullif({compact('all_text')}, '') as whole from existing""",
     known="""select in_id, min(p) as p, min_by(doc_id, p * 1000000000::bigint + doc_id) as match_id from (
   select in_id, 1 as p, doc_id from keyed join stored using (ke)
   union all select in_id, 2, doc_id from keyed join stored using (kt)
   union all select in_id, 3, doc_id from keyed join stored using (content_hash)
-  union all select in_id, 4, doc_id from keyed k join stored s on k.legacy_hash = s.content_hash) group by in_id""",
+  union all select in_id, 4, doc_id from keyed k join stored s on k.legacy_hash = s.content_hash and k.whole = s.whole) group by in_id""",
     fresh="select in_id as o, kt as a, content_hash as b from keyed where in_id not in (select in_id from known)",
-    **_rounds(4),
+    **_RIVALS,
 )
 
 
@@ -215,7 +214,7 @@ select c.in_id, c.title as file_name, c.content_hash,
   case when c.title not like '%.txt' then 'unsupported' when c.all_text = '' then 'no_text'
     when k.p <= 2 then 'title_and_content' when k.p = 3 then 'content_hash' when k.p = 4 then 'legacy_digest'
     when a.o is not null then 'indexed' else 'in_batch' end as reason
-from clean c left join known k on k.in_id = c.in_id left join accepted a on a.o = c.in_id""", **INDEXING))
+from clean c left join known k on k.in_id = c.in_id left join accepted a on a.o = c.in_id""", **INDEXING).replace("with ", "with recursive ", 1))
 def a15(t: Tables) -> DataFrame:
     _, outcomes = co.index_documents(_raw(t), _existing(t), AS_OF, rules=TEXT_RULES)
     return outcomes
@@ -227,7 +226,7 @@ select c.content_hash as doc_id, c.title, c.all_text,
     when contains(title, 'ment') or contains(title, 'report') then 'REPORT'
     when contains(title, 'ung') or contains(title, 'rule') then 'RULE' else 'OTHERS' end as doc_category,
   c.all_text as chosung_text, replace(c.all_text, ' ', '') as chosung_text_ngram
-from clean c join accepted a on a.o = c.in_id""", **INDEXING))
+from clean c join accepted a on a.o = c.in_id""", **INDEXING).replace("with ", "with recursive ", 1))
 def a15_rows(t: Tables) -> DataFrame:
     docs, _ = co.index_documents(_raw(t), _existing(t), AS_OF, rules=TEXT_RULES)
     return docs.select("doc_id", "title", "all_text", "doc_category", "chosung_text", "chosung_text_ngram")
@@ -246,7 +245,7 @@ def b28(t: Tables) -> DataFrame:
 
 @query("d13_find_duplicates", sql("""
 select in_id, case when p <= 2 then 'title_and_content' when p = 3 then 'content_hash' else 'legacy_digest' end as reason, match_id
-from known""", **INDEXING))
+from known""", **INDEXING).replace("with ", "with recursive ", 1))
 def d13(t: Tables) -> DataFrame:
     raw = _raw(t).select(
         "in_id", co.sanitize("file_name").alias("title"), co.sanitize("text").alias("all_text"),
