@@ -93,8 +93,11 @@ class Index:
     postings: DataFrame
     stats: DataFrame
     analyzer: Analyzer = field(default=DEFAULT_ANALYZER)
-    # of a stored index: into how many buckets its words are dealt
+    # of a stored index: into how many buckets its words are dealt, into how many ranges its
+    # documents, and the extremes of each (field, term, doc_range)
     buckets: int = 0
+    ranges: int = 0
+    bounds: DataFrame | None = None
 
     def stat(self, name: str) -> Column:
         """Per-field statistic for the row's `field`; the map has one entry per field."""
@@ -105,42 +108,55 @@ class Index:
 
 def build_index(docs: DataFrame, fields: dict[str, str] | None = None,
                 analyzer: Analyzer = DEFAULT_ANALYZER) -> Index:
-    return Index(build_postings(docs, fields, analyzer), field_stats(docs, fields, analyzer), analyzer)
+    """An index for one use. Its statistics, a row a field, are worked out once here."""
+    stats = materialize(field_stats(docs, fields, analyzer), "stats")
+    return Index(build_postings(docs, fields, analyzer), stats, analyzer)
 
 
-def _write_segment(postings: DataFrame, path: str, segment: int, buckets: int) -> None:
-    """One segment of a stored index: postings in folders by word bucket, ranges of
-    (word, document) inside, so that a frequent word is spread over several files and a
-    look-up reads the row groups of its words only; and every field's length in words,
-    from which the statistics are had without reading postings."""
+def doc_range(doc_id: Column, ranges: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(ranges)).cast("int")
+
+
+def _write_segment(postings: DataFrame, path: str, segment: int, buckets: int, ranges: int) -> None:
+    """One segment of a stored index: a row for each (field, word, document) with its
+    positions, in folders by word bucket and ordered by (word, range of documents) inside, so
+    that a frequent word is spread over several files and a look-up reads the row groups of
+    its words only; beside them every field's length in words, from which the statistics are
+    had, and the extremes of each (field, word, range), which bound its scores."""
     place = f"{path}/postings/segment={segment}"
+    folded = postings.groupBy("field", "term", "doc_id").agg(
+        F.count("*").cast("int").alias("tf"), F.max("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    order = ["term_bucket", "term", "doc_range", "doc_id"]
     (
-        postings.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-        .repartitionByRange("term_bucket", "term", "doc_id")
-        .sortWithinPartitions("term_bucket", "term", "doc_id", "pos")
+        folded.withColumns({"term_bucket": term_bucket(F.col("term"), buckets), "doc_range": doc_range(F.col("doc_id"), ranges)})
+        .repartitionByRange(*order).sortWithinPartitions(*order)
         .write.mode("errorifexists").partitionBy("term_bucket").parquet(place)
     )
     stored = postings.sparkSession.read.parquet(place)
     stored.groupBy("field", "doc_id").agg(F.max("dl").alias("dl")).write.mode("errorifexists").parquet(
         f"{path}/lengths/segment={segment}")
+    stored.groupBy("term_bucket", "field", "term", "doc_range").agg(
+        F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl")).repartition(
+        "term_bucket").write.mode("errorifexists").partitionBy("term_bucket").parquet(f"{path}/bounds/segment={segment}")
 
 
-def write_index(index: Index, path: str, buckets: int = 256) -> None:
-    """Store an index for repeated use. The number of buckets and the analyser's name are
-    stored with it; `append_index` and `delete_from_index` maintain it."""
+def write_index(index: Index, path: str, buckets: int = 256, ranges: int = 256) -> None:
+    """Store an index for repeated use. The numbers of word buckets and of document ranges
+    and the analyser's name are stored with it; `append_index`, `delete_from_index` and
+    `merge_index` maintain it."""
     spark = index.postings.sparkSession
     ids = index.postings.select("doc_id").limit(0)
     ids.write.mode("errorifexists").parquet(f"{path}/deleted/segment=0")
-    _write_segment(index.postings, path, 1, buckets)
-    how = [(buckets, analyzer_name(index.analyzer))]
-    spark.createDataFrame(how, "buckets int, analyzer string").coalesce(1).write.mode("errorifexists").parquet(f"{path}/settings")
+    _write_segment(index.postings, path, 1, buckets, ranges)
+    how = [(buckets, ranges, analyzer_name(index.analyzer))]
+    spark.createDataFrame(how, "buckets int, ranges int, analyzer string").coalesce(1).write.mode("errorifexists").parquet(f"{path}/settings")
 
 
-def _settings(spark: SparkSession, path: str, analyzer: Analyzer) -> int:
+def _settings(spark: SparkSession, path: str, analyzer: Analyzer) -> tuple[int, int]:
     how = spark.read.parquet(f"{path}/settings").first()
     if how["analyzer"] != analyzer_name(analyzer):
         raise ValueError(f"the index was written with {how['analyzer']}, not {analyzer_name(analyzer)}")
-    return how["buckets"]
+    return how["buckets"], how["ranges"]
 
 
 def _next_segment(spark: SparkSession, path: str) -> int:
@@ -154,29 +170,52 @@ def append_index(docs: DataFrame, path: str, fields: dict[str, str] | None = Non
     """Add documents as a segment of their own. Their ids must not be in the index, or
     have been deleted from it before."""
     spark = docs.sparkSession
-    buckets = _settings(spark, path, analyzer)
-    _write_segment(build_postings(docs, fields, analyzer), path, _next_segment(spark, path), buckets)
+    buckets, ranges = _settings(spark, path, analyzer)
+    _write_segment(build_postings(docs, fields, analyzer), path, _next_segment(spark, path), buckets, ranges)
 
 
 def delete_from_index(ids: DataFrame, path: str) -> None:
     """Forget documents (doc_id) that earlier segments hold. Postings stay in their files
-    and are left out when read."""
+    and are left out when read, until a merge drops them."""
     segment = _next_segment(ids.sparkSession, path)
     ids.select("doc_id").where("doc_id is not null").distinct().write.mode("errorifexists").parquet(f"{path}/deleted/segment={segment}")
 
 
-def read_index(spark: SparkSession, path: str, analyzer: Analyzer = DEFAULT_ANALYZER) -> Index:
-    """The index as its segments and deletions leave it."""
-    buckets = _settings(spark, path, analyzer)
-    gone = spark.read.parquet(f"{path}/deleted").groupBy("doc_id").agg(F.max("segment").alias("_until"))
+def _living(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows of all segments without those of documents deleted later."""
+    gone = spark.read.parquet(f"{path}/deleted").groupBy(F.col("doc_id").alias("_gone")).agg(F.max("segment").alias("_until"))
+    return spark.read.parquet(f"{path}/{kind}").join(
+        gone, (F.col("doc_id") == F.col("_gone")) & (F.col("segment") < F.col("_until")), "left_anti")
 
-    def living(kind: str) -> DataFrame:
-        rows = spark.read.parquet(f"{path}/{kind}")
-        lost = gone.withColumnRenamed("doc_id", "_gone")
-        return rows.join(lost, (F.col("doc_id") == F.col("_gone")) & (F.col("segment") < F.col("_until")), "left_anti").drop("segment")
 
-    stats = living("lengths").groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return Index(living("postings"), stats, analyzer, buckets)
+def read_index(spark: SparkSession, path: str, analyzer: Analyzer = DEFAULT_ANALYZER) -> Index:
+    """The index as its segments and deletions leave it. The bounds of a deleted document
+    stay until a merge; they are then wider than need be, never too narrow."""
+    buckets, ranges = _settings(spark, path, analyzer)
+    lengths = _living(spark, path, "lengths").drop("segment")
+    stats = materialize(lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")), "stats")
+    bounds = spark.read.parquet(f"{path}/bounds").drop("segment")
+    return Index(_living(spark, path, "postings").drop("segment"), stats, analyzer, buckets, ranges, bounds)
+
+
+def merge_index(spark: SparkSession, path: str, into: str, analyzer: Analyzer = DEFAULT_ANALYZER) -> None:
+    """Write the index at `path` anew at `into`: one segment, deleted documents gone, narrow
+    bounds. Word buckets keep their rows, so the merge goes bucket by bucket: a task sorts
+    part of one bucket, and nothing is tokenised. Readers of the old index are not
+    disturbed; it can go once nobody reads it."""
+    buckets, ranges = _settings(spark, path, analyzer)
+    order = ["term_bucket", "term", "doc_range", "doc_id"]
+    postings = _living(spark, path, "postings").drop("segment")
+    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").partitionBy(
+        "term_bucket").parquet(f"{into}/postings/segment=1")
+    stored = spark.read.parquet(f"{into}/postings/segment=1")
+    _living(spark, path, "lengths").drop("segment").write.mode("errorifexists").parquet(f"{into}/lengths/segment=1")
+    stored.groupBy("term_bucket", "field", "term", "doc_range").agg(
+        F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl")).repartition(
+        "term_bucket").write.mode("errorifexists").partitionBy("term_bucket").parquet(f"{into}/bounds/segment=1")
+    stored.select("doc_id").limit(0).write.mode("errorifexists").parquet(f"{into}/deleted/segment=0")
+    how = [(buckets, ranges, analyzer_name(analyzer))]
+    spark.createDataFrame(how, "buckets int, ranges int, analyzer string").coalesce(1).write.mode("errorifexists").parquet(f"{into}/settings")
 
 
 def analyzer_name(analyzer: Analyzer) -> str:
@@ -197,20 +236,26 @@ def keyword_terms(keywords: DataFrame, analyzer: Analyzer = DEFAULT_ANALYZER) ->
     )
 
 
-def _occurrences(index: Index, terms: DataFrame) -> DataFrame:
-    """(field, term, doc_id, tf, dl, positions) for the words in question. Postings of
-    other words are dropped before anything is shuffled, and where the index is stored
-    in buckets only the buckets of these words are read."""
+def of_words(rows: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
+    """The rows of the words in question. Where the rows are stored in buckets, only the
+    buckets of these words are read."""
     vocabulary = terms.select("term").distinct()
     keys = ["term"]
-    if "term_bucket" in index.postings.columns:
+    if "term_bucket" in rows.columns:
         vocabulary = vocabulary.withColumn("term_bucket", term_bucket(F.col("term"), index.buckets))
         keys = ["term_bucket", "term"]
-    found = (
-        index.postings.join(vocabulary, keys, "left_semi")
-        .groupBy("field", "term", "doc_id")
-        .agg(F.count("*").alias("tf"), F.max("dl").alias("dl"), F.collect_list("pos").alias("positions"))
-    )
+    return rows.join(vocabulary, keys, "left_semi")
+
+
+def _occurrences(index: Index, terms: DataFrame) -> DataFrame:
+    """(field, term, doc_id, tf, dl, positions) for the words in question. Postings of
+    other words are dropped before anything is shuffled; a stored index holds these rows."""
+    found = of_words(index.postings, terms, index)
+    if index.buckets:
+        found = found.select("field", "term", "doc_id", "tf", "dl", "positions")
+    else:
+        found = found.groupBy("field", "term", "doc_id").agg(
+            F.count("*").cast("int").alias("tf"), F.max("dl").alias("dl"), F.collect_list("pos").alias("positions"))
     # read three times below (document frequencies, candidates, look-ups): the corpus
     # is tokenised once, and the joins are planned with the real size
     return materialize(found, "occurrences")
@@ -224,34 +269,34 @@ def tf_norm(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / avgdl))
 
 
-def _with_df(occurrences: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
+def with_df(occurrences: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
+    """The words of the keywords for each field that holds them, with their idf there."""
     df = occurrences.groupBy("field", "term").agg(F.count("*").alias("df"))
     return terms.join(df, "term").withColumn("idf", idf(index.stat("n_docs"), F.col("df")))
 
 
-def match_keywords(index: Index, terms: DataFrame) -> DataFrame:
-    """(qid, kid, field, doc_id, and_score, phrase_tf, phrase_score) for every document
-    field that holds all words of a keyword. `phrase_tf` counts the places where they
-    stand at the keyword's distances; 0 means no phrase match."""
-    occurrences = _occurrences(index, terms)
-    weighted = _with_df(occurrences, terms, index)
-    keyword = ["qid", "kid", "field"]
-    # keywords all of whose words occur in the field, with their rarest word
-    entry = (
-        weighted.groupBy(*keyword)
+KEYWORD = ["qid", "kid", "field"]
+
+
+def rarest_words(weighted: DataFrame) -> DataFrame:
+    """(qid, kid, field, term, n_terms, idf_sum) of the keywords all of whose words occur in a
+    field, with their rarest word there."""
+    return (
+        weighted.groupBy(*KEYWORD)
         .agg(F.count("*").alias("found"), F.max("n_terms").alias("n_terms"), F.sum("idf").alias("idf_sum"),
              F.min(F.struct("df", "term")).alias("rarest"))
         .filter(F.col("found") == F.col("n_terms"))
-        .select(*keyword, F.col("rarest.term").alias("term"), "idf_sum")
+        .select(*KEYWORD, F.col("rarest.term").alias("term"), "n_terms", "idf_sum")
     )
-    candidates = entry.join(occurrences.select("field", "term", "doc_id"), ["field", "term"]).drop("term")
+
+
+def score_fields(full: DataFrame, index: Index) -> DataFrame:
+    """(qid, kid, field, doc_id, and_score, phrase_tf, phrase_score) from a row for each word
+    of a keyword in each document: qpos, n_terms, idf, idf_sum, tf, dl, positions. Documents
+    without all words drop out."""
     avgdl = index.stat("avgdl")
-    full = (
-        candidates.join(weighted.select(*keyword, "qpos", "term", "n_terms", "idf"), keyword)
-        .join(occurrences, ["field", "term", "doc_id"])
-    )
     starts = F.transform("positions", lambda p: p - F.col("qpos"))
-    merged = full.groupBy(*keyword, "doc_id").agg(
+    merged = full.groupBy(*KEYWORD, "doc_id").agg(
         F.count("*").alias("found"), F.max("n_terms").alias("n_terms"),
         F.max("idf_sum").alias("idf_sum"), F.max("dl").alias("dl"),
         F.sum(F.col("idf") * tf_norm(F.col("tf"), F.col("dl"), avgdl)).alias("and_score"),
@@ -266,14 +311,29 @@ def match_keywords(index: Index, terms: DataFrame) -> DataFrame:
         .withColumn("phrase_score", F.when(
             F.col("phrase_tf") > 0,
             F.col("idf_sum") * tf_norm(F.col("phrase_tf"), F.col("dl"), avgdl)).otherwise(0.0))
-        .select(*keyword, "doc_id", "and_score", "phrase_tf", "phrase_score")
+        .select(*KEYWORD, "doc_id", "and_score", "phrase_tf", "phrase_score")
+    )
+
+
+def match_keywords(index: Index, terms: DataFrame) -> DataFrame:
+    """(qid, kid, field, doc_id, and_score, phrase_tf, phrase_score) for every document
+    field that holds all words of a keyword. `phrase_tf` counts the places where they
+    stand at the keyword's distances; 0 means no phrase match."""
+    occurrences = _occurrences(index, terms)
+    weighted = with_df(occurrences, terms, index)
+    candidates = rarest_words(weighted).join(
+        occurrences.select("field", "term", "doc_id"), ["field", "term"]).drop("term", "n_terms")
+    full = (
+        candidates.join(weighted.select(*KEYWORD, "qpos", "term", "n_terms", "idf"), KEYWORD)
+        .join(occurrences, ["field", "term", "doc_id"])
     )
+    return score_fields(full, index)
 
 
 def match_any(index: Index, terms: DataFrame) -> DataFrame:
     """(qid, kid, field, doc_id, or_score): documents with at least one word."""
     occurrences = _occurrences(index, terms)
-    weighted = _with_df(occurrences, terms, index)
+    weighted = with_df(occurrences, terms, index)
     return (
         weighted.join(occurrences, ["field", "term"])
         .groupBy("qid", "kid", "field", "doc_id")

@@ -4,6 +4,7 @@ filters, ranking, paging, facets and highlights."""
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,7 +131,7 @@ def match_chosung(keywords: DataFrame, docs: DataFrame, mode: str = "wildcard",
     return found
 
 
-def _keyword_table(prepared: DataFrame) -> DataFrame:
+def keyword_table(prepared: DataFrame) -> DataFrame:
     """(qid, kid, keyword, is_chosung) of all search keywords."""
     return prepared.select("qid", "is_chosung", F.posexplode("target_keywords").alias("i", "keyword")).select(
         "qid", F.concat(F.lit("t"), F.col("i").cast("string")).alias("kid"), "keyword", "is_chosung")
@@ -148,7 +149,7 @@ def hybrid_hits(requests: DataFrame, docs: DataFrame, dictionary: DataFrame,
     index = index or build_index(docs)
     weights = config.weights
     prepared = materialize(prepare_queries(requests, dictionary, synonyms=config.synonyms), "requests")
-    targets = _keyword_table(prepared)
+    targets = keyword_table(prepared)
     includes = fl.keyword_rows(prepared, "include_keywords", "i")
     excludes = fl.keyword_rows(prepared, "exclude_keywords", "e")
     plain = targets.filter(~F.col("is_chosung")).drop("is_chosung")
@@ -165,7 +166,7 @@ def hybrid_hits(requests: DataFrame, docs: DataFrame, dictionary: DataFrame,
     hits = fl.exclude_any(hits, phrases.filter(role == "e").select("qid", "doc_id"))
     if vectors is not None and query_vectors is not None:
         # as many neighbours as the request's page is long
-        asked = prepared.filter(~F.col("is_chosung")).select("qid", _asked(prepared, "size", k).alias("k"))
+        asked = prepared.filter(~F.col("is_chosung")).select("qid", asked_size(prepared, "size", k).alias("k"))
         near = knn(query_vectors.join(asked, "qid"), vectors, k).select("qid", "doc_id", F.col("score").alias("_near"))
         hits = hits.join(near, ["qid", "doc_id"], "left").withColumn(
             "score", F.round(F.col("score") + weights["vector"] * F.coalesce("_near", F.lit(0.0)), 6)).drop("_near")
@@ -187,7 +188,7 @@ def hybrid_hits(requests: DataFrame, docs: DataFrame, dictionary: DataFrame,
     return fl.require_exact_names(fl.prefer_exact(hits))
 
 
-def _asked(df: DataFrame, name: str, otherwise: int) -> Column:
+def asked_size(df: DataFrame, name: str, otherwise: int) -> Column:
     """A request's own page or size, where its table has one."""
     return F.coalesce(F.col(name).cast("int"), F.lit(otherwise)) if name in df.columns else F.lit(otherwise)
 
@@ -202,18 +203,31 @@ def top_hits(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(_ranking())).filter(F.col("rank") <= k)
 
 
+def limited_rank(hits: DataFrame, score: str, last: str) -> DataFrame:
+    """The hits with their `rank` by a score column, up to the rank in column `last`, which is
+    the same for all hits of a request. Requests are dealt by the power of two their limit
+    fits, so each such class sends no more rows per task than its own requests ask for."""
+    order = Window.partitionBy("qid").orderBy(F.desc(score), F.desc("indexed_at"), F.asc("doc_id"))
+    power = F.ceil(F.log2(F.greatest(F.col(last), F.lit(1)))).cast("int")
+    # at most 31 classes
+    classes = sorted(r[0] for r in hits.select(power).distinct().collect())
+    parts = [hits.filter(power == c).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 2 ** c) for c in classes]
+    ranked = reduce(DataFrame.unionByName, parts) if parts else hits.withColumn("rank", F.lit(1))
+    return ranked.filter(F.col("rank") <= F.col(last))
+
+
 def page_hits(hits: DataFrame, page: int = 1, size: int = 10) -> DataFrame:
     """One page per request, with total and total_pages. A request's own `page` and `size`
-    count where the hits carry them; only ranks up to the largest page's end are kept
-    before the shuffle."""
-    asked = hits.withColumns({"_page": _asked(hits, "page", page), "_size": _asked(hits, "size", size)}).drop("page", "size")
+    count where the hits carry them; only ranks up to its own page's end are kept before
+    the shuffle."""
+    asked = hits.withColumns({"_page": asked_size(hits, "page", page), "_size": asked_size(hits, "size", size)}).drop("page", "size")
     totals = asked.groupBy("qid").agg(F.count("*").alias("total"))
-    most = page * size
-    if {"page", "size"} & set(hits.columns):
-        most = asked.agg(F.max(F.col("_page") * F.col("_size"))).first()[0] or 0
     rank, first = F.col("rank"), (F.col("_page") - 1) * F.col("_size")
-    rows = top_hits(asked, most).filter((rank > first) & (rank <= first + F.col("_size")))
-    return rows.join(totals, "qid").withColumn(
+    if {"page", "size"} & set(hits.columns):
+        ranked = limited_rank(asked.withColumn("_last", F.col("_page") * F.col("_size")), "score", "_last").drop("_last")
+    else:
+        ranked = top_hits(asked, page * size)
+    return ranked.filter(rank > first).join(totals, "qid").withColumn(
         "total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / F.col("_size"))).cast("int")).drop("_page", "_size")
 
 

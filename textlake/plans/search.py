@@ -11,6 +11,7 @@ from ..functions.hangul import to_chosung
 from ..operators import filters as fl
 from ..operators import postings as po
 from ..operators import querylog as ql
+from ..operators import ranked as ra
 from ..operators import search as se
 from ..operators.dictionary import upsert_dictionary
 from ..operators.vectors import knn
@@ -203,6 +204,24 @@ def _hits(t: Tables) -> DataFrame:
     return se.hybrid_hits(t.requests, t.docs, _dictionary(t), t.vectors, t.query_vectors)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(t: Tables) -> po.Index:
+    """The index of the documents, written on first use and read by every search of the
+    session over the same tables."""
+    key = (t.spark.sparkContext.applicationId, t.directory)
+    if key not in _STORED:
+        path = f"{shared_dir(t.spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        po.write_index(po.build_index(t.docs), path, buckets=64)
+        _STORED[key] = path
+    return po.read_index(t.spark, _STORED[key])
+
+
+def _matched(t: Tables) -> ra.Matched:
+    return ra.match_requests(t.requests, t.docs, _dictionary(t), stored_index(t), t.vectors, t.query_vectors)
+
+
 @query("d7_hybrid_hits", sql("""
 select qid, doc_id, score, doc_category, file_ext, corrected as is_typo_corrected from hits""", *SEARCH_TABLES, **HITS))
 def d7_hits(t: Tables) -> DataFrame:
@@ -226,7 +245,7 @@ select qid, doc_id, rank, score, total, ceil(total / page_size)::bigint as total
   case when pos is null then left(all_text, 200) || '...' else {snippet_sql('all_text', 'pos', 'size')} end as summary
 from page1 left join found using (qid, doc_id)""", *SEARCH_TABLES, **HITS, **PAGE))
 def d7(t: Tables) -> DataFrame:
-    out = se.hybrid_search(t.requests, t.docs, _dictionary(t), t.vectors, t.query_vectors)
+    out = ra.search_pages(t.requests, t.docs, _dictionary(t), stored_index(t), t.vectors, t.query_vectors)
     return out.select(
         "qid", "doc_id", F.col("rank").cast("long").alias("rank"), "score", "total",
         F.col("total_pages").cast("long").alias("total_pages"), "page", "summary")
@@ -344,7 +363,7 @@ def second_ranking(t: Tables) -> DataFrame:
         F.lit(AS_OF).cast("timestamp").alias("created_at"))
     ql.save_search_logs(t.logs.select(asked.columns).unionByName(asked), path)
     hot = ql.popular_keywords(ql.read_search_logs(t.spark, path, AS_OF, days=14), AS_OF, 14, 200)
-    page = se.top_hits(_hits(t), 10).select("qid", "doc_id", "score", "rank").join(t.requests.select("qid", "query"), "qid")
+    page = ra.best_hits(_matched(t), F.lit(10)).select("qid", "doc_id", "score", "rank").join(t.requests.select("qid", "query"), "qid")
     return se.rerank(page, t.docs, hot)
 
 
@@ -457,13 +476,13 @@ def c9(t: Tables) -> DataFrame:
 @query("e8_facet_category", sql(
     "select qid, doc_category, count(*) as count from hits group by 1, 2", *SEARCH_TABLES, **HITS))
 def e8(t: Tables) -> DataFrame:
-    return se.facet_category(_hits(t))
+    return se.facet_category(_matched(t).rows)
 
 
 @query("e9_facet_extension", sql(
     "select qid, file_ext, count(*) as count from hits group by 1, 2", *SEARCH_TABLES, **HITS))
 def e9(t: Tables) -> DataFrame:
-    return se.facet_extension(_hits(t))
+    return se.facet_extension(_matched(t).rows)
 
 
 @query("w5_page_hits", sql("""
