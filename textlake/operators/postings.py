@@ -117,6 +117,17 @@ def doc_range(doc_id: Column, ranges: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(ranges)).cast("int")
 
 
+def write_folded(folded: DataFrame, place: str, buckets: int, *within: str) -> None:
+    """Rows (field, term, doc_id, ...) in folders by word bucket, in order of (term, `within`,
+    document) inside; a frequent word is spread over several files."""
+    order = ["term_bucket", "term", *within, "doc_id"]
+    (
+        folded.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+        .repartitionByRange(*order).sortWithinPartitions(*order)
+        .write.mode("errorifexists").partitionBy("term_bucket").parquet(place)
+    )
+
+
 def _write_segment(postings: DataFrame, path: str, segment: int, buckets: int, ranges: int) -> None:
     """One segment of a stored index: a row for each (field, word, document) with its
     positions, in folders by word bucket and ordered by (word, range of documents) inside, so
@@ -126,12 +137,7 @@ def _write_segment(postings: DataFrame, path: str, segment: int, buckets: int, r
     place = f"{path}/postings/segment={segment}"
     folded = postings.groupBy("field", "term", "doc_id").agg(
         F.count("*").cast("int").alias("tf"), F.max("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    order = ["term_bucket", "term", "doc_range", "doc_id"]
-    (
-        folded.withColumns({"term_bucket": term_bucket(F.col("term"), buckets), "doc_range": doc_range(F.col("doc_id"), ranges)})
-        .repartitionByRange(*order).sortWithinPartitions(*order)
-        .write.mode("errorifexists").partitionBy("term_bucket").parquet(place)
-    )
+    write_folded(folded.withColumn("doc_range", doc_range(F.col("doc_id"), ranges)), place, buckets, "doc_range")
     stored = postings.sparkSession.read.parquet(place)
     stored.groupBy("field", "doc_id").agg(F.max("dl").alias("dl")).write.mode("errorifexists").parquet(
         f"{path}/lengths/segment={segment}")
@@ -181,7 +187,7 @@ def delete_from_index(ids: DataFrame, path: str) -> None:
     ids.select("doc_id").where("doc_id is not null").distinct().write.mode("errorifexists").parquet(f"{path}/deleted/segment={segment}")
 
 
-def _living(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def living(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Rows of all segments without those of documents deleted later."""
     gone = spark.read.parquet(f"{path}/deleted").groupBy(F.col("doc_id").alias("_gone")).agg(F.max("segment").alias("_until"))
     return spark.read.parquet(f"{path}/{kind}").join(
@@ -192,10 +198,10 @@ def read_index(spark: SparkSession, path: str, analyzer: Analyzer = DEFAULT_ANAL
     """The index as its segments and deletions leave it. The bounds of a deleted document
     stay until a merge; they are then wider than need be, never too narrow."""
     buckets, ranges = _settings(spark, path, analyzer)
-    lengths = _living(spark, path, "lengths").drop("segment")
+    lengths = living(spark, path, "lengths").drop("segment")
     stats = materialize(lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")), "stats")
     bounds = spark.read.parquet(f"{path}/bounds").drop("segment")
-    return Index(_living(spark, path, "postings").drop("segment"), stats, analyzer, buckets, ranges, bounds)
+    return Index(living(spark, path, "postings").drop("segment"), stats, analyzer, buckets, ranges, bounds)
 
 
 def merge_index(spark: SparkSession, path: str, into: str, analyzer: Analyzer = DEFAULT_ANALYZER) -> None:
@@ -204,12 +210,9 @@ def merge_index(spark: SparkSession, path: str, into: str, analyzer: Analyzer =
     part of one bucket, and nothing is tokenised. Readers of the old index are not
     disturbed; it can go once nobody reads it."""
     buckets, ranges = _settings(spark, path, analyzer)
-    order = ["term_bucket", "term", "doc_range", "doc_id"]
-    postings = _living(spark, path, "postings").drop("segment")
-    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").partitionBy(
-        "term_bucket").parquet(f"{into}/postings/segment=1")
+    write_folded(living(spark, path, "postings").drop("segment"), f"{into}/postings/segment=1", buckets, "doc_range")
     stored = spark.read.parquet(f"{into}/postings/segment=1")
-    _living(spark, path, "lengths").drop("segment").write.mode("errorifexists").parquet(f"{into}/lengths/segment=1")
+    living(spark, path, "lengths").drop("segment").write.mode("errorifexists").parquet(f"{into}/lengths/segment=1")
     stored.groupBy("term_bucket", "field", "term", "doc_range").agg(
         F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl")).repartition(
         "term_bucket").write.mode("errorifexists").partitionBy("term_bucket").parquet(f"{into}/bounds/segment=1")
@@ -236,15 +239,18 @@ def keyword_terms(keywords: DataFrame, analyzer: Analyzer = DEFAULT_ANALYZER) ->
     )
 
 
+def of_buckets(rows: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the wanted keys, of which term_bucket is one: only these folders are read."""
+    return rows.join(words, keys, "left_semi")
+
+
 def of_words(rows: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
     """The rows of the words in question. Where the rows are stored in buckets, only the
     buckets of these words are read."""
     vocabulary = terms.select("term").distinct()
-    keys = ["term"]
-    if "term_bucket" in rows.columns:
-        vocabulary = vocabulary.withColumn("term_bucket", term_bucket(F.col("term"), index.buckets))
-        keys = ["term_bucket", "term"]
-    return rows.join(vocabulary, keys, "left_semi")
+    if "term_bucket" not in rows.columns:
+        return rows.join(vocabulary, "term", "left_semi")
+    return of_buckets(rows, vocabulary.withColumn("term_bucket", term_bucket(F.col("term"), index.buckets)), ["term_bucket", "term"])
 
 
 def _occurrences(index: Index, terms: DataFrame) -> DataFrame:

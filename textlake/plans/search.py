@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hangul import to_chosung
+from ..operators import chosung as ch
 from ..operators import filters as fl
 from ..operators import postings as po
 from ..operators import querylog as ql
@@ -135,19 +136,38 @@ def d1_stored(t: Tables) -> DataFrame:
     return se.lexical_score(_keywords(t), po.read_index(t.spark, path))
 
 
+_STORED: dict[tuple[str, ...], str] = {}
+
+
+def stored(t: Tables, label: str, write) -> str:
+    """The folder of a table derived from the documents, written on first use and read by
+    every search of the session over the same documents."""
+    key = (t.spark.sparkContext.applicationId, t.directory, label)
+    if key not in _STORED:
+        path = f"{shared_dir(t.spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def _chosung_hits(t: Tables, mode: str) -> DataFrame:
+    path = stored(t, "grams", lambda place: ch.write_grams(t.hangul_docs, place, buckets=64))
+    return ch.match_stored_chosung(_chosung_keywords(t), path, mode, se.WEIGHTS["chosung"])
+
+
 @query("d5_match_chosung_wildcard", _chosung_sql(WILDCARD))
 def d5_wildcard(t: Tables) -> DataFrame:
-    return se.match_chosung(_chosung_keywords(t), t.hangul_docs, "wildcard")
+    return _chosung_hits(t, "wildcard")
 
 
 @query("d5_match_chosung_ngram", _chosung_sql(NGRAM))
 def d5_ngram(t: Tables) -> DataFrame:
-    return se.match_chosung(_chosung_keywords(t), t.hangul_docs, "ngram")
+    return _chosung_hits(t, "ngram")
 
 
 @query("d5_match_chosung_hybrid", _chosung_sql(f"{WILDCARD} + {NGRAM}"))
 def d5_hybrid(t: Tables) -> DataFrame:
-    return se.match_chosung(_chosung_keywords(t), t.hangul_docs, "hybrid")
+    return _chosung_hits(t, "hybrid")
 
 
 KNN = """select q.vec_id as qid, d.vec_id as doc_id,
@@ -204,18 +224,9 @@ def _hits(t: Tables) -> DataFrame:
     return se.hybrid_hits(t.requests, t.docs, _dictionary(t), t.vectors, t.query_vectors)
 
 
-_STORED: dict[tuple[str, str], str] = {}
-
-
 def stored_index(t: Tables) -> po.Index:
-    """The index of the documents, written on first use and read by every search of the
-    session over the same tables."""
-    key = (t.spark.sparkContext.applicationId, t.directory)
-    if key not in _STORED:
-        path = f"{shared_dir(t.spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-        po.write_index(po.build_index(t.docs), path, buckets=64)
-        _STORED[key] = path
-    return po.read_index(t.spark, _STORED[key])
+    path = stored(t, "index", lambda place: po.write_index(po.build_index(t.docs), place, buckets=64))
+    return po.read_index(t.spark, path)
 
 
 def _matched(t: Tables) -> ra.Matched:
