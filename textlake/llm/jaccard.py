@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,14 @@ WORDS = 5
 SIMILAR = (4, 5)
 # shingles found this often in one of SAMPLE texts have a cost; the commonest HOT are kept
 SAMPLE, OFTEN, HOT = 64, 4, 1 << 19
+# rounds in which each node is compared with one other, before all pairs left are
+ROUNDS = 1
 SEED = 42
 MIX = np.uint64(0x9E3779B97F4A7C15)
+# text of one step of indexing, whose arrays take some twenty times as much
+INDEX_BYTES = 1 << 20
+# words of the parities that are compared inside the join
+SMALL = 4
 # bits of the quick test for a shingle with a cost
 COMMON_BITS = 22
 # kinds of signatures
@@ -206,6 +213,14 @@ def parities(sets: list[np.ndarray]) -> list[bytes]:
     return [packed[a // 8:(a + n) // 8] for a, n in zip(base.tolist(), bits.tolist(), strict=True)]
 
 
+def small_parities(sets: list[np.ndarray]) -> np.ndarray:
+    """The same of 256 values for each set, as SMALL numbers of 64 bits."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    counts = np.bincount(owner * 64 * SMALL + (flat & np.uint64(64 * SMALL - 1)).astype(np.int64), minlength=64 * SMALL * len(sets))
+    return np.packbits(counts & 1, bitorder="little").view("<i8").reshape(len(sets), SMALL)
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     x, y = (int.from_bytes(v, "little") for v in (a, b))
     n, m = 8 * len(a), 8 * len(b)
@@ -243,15 +258,15 @@ def common_shingles(docs: DataFrame, words: int = WORDS, sample: int = SAMPLE, o
 
 
 def sign(docs: DataFrame, costs: Costs, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """All columns of `docs` but the text, and (key, node, size, parity, whole, less): hashes
-    of the text and of its set, the size of the set, and its signatures. Where a task meets a
-    set again, the last three are null."""
+    """All columns of `docs` but the text, and (key, node, size, parity, small, whole, less):
+    hashes of the text and of its set, the size and parities of the set, and its signatures.
+    Where a task meets a set again, the last four are null."""
     shared = docs.sparkSession.sparkContext.broadcast(costs)
     others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", INDEX_BYTES):
             sets = [shingles(t, words) for t in raw(part.column("text"))]
             nodes = [xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in sets]
             first = []
@@ -260,19 +275,21 @@ def sign(docs: DataFrame, costs: Costs, words: int = WORDS, similar: tuple[int,
                     known.add(node)
                     first.append(i)
             new = [sets[i] for i in first]
-            columns = [[None] * len(sets) for _ in range(3)]
-            for mine, values in zip(columns, (parities(new), *(index(new, shared.value, similar) if new else ([], []))), strict=True):
+            columns = [[None] * len(sets) for _ in range(4)]
+            made = (parities(new), small_parities(new).view(np.uint64)[:, None], *(index(new, shared.value, similar) if new else ([], [])))
+            for mine, values in zip(columns, made, strict=True):
                 for i, v in zip(first, values, strict=True):
                     mine[i] = v
-            parity, whole, less = columns
+            parity, small, whole, less = columns
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in [*others, "key"]), pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                 pa.array([len(s) for s in sets], pa.int32()), pa.array(parity, pa.binary()), _lists(whole), _lists(less)],
-                names=[*others, "key", "node", "size", "parity", "whole", "less"])
+                 pa.array([len(s) for s in sets], pa.int32()), pa.array(parity, pa.binary()),
+                 _lists(small), _lists(whole), _lists(less)],
+                names=[*others, "key", "node", "size", "parity", "small", "whole", "less"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
     return docs.select(*others, F.xxhash64("text").alias("key"), "text").mapInArrow(
-        run, f"{kinds}, key bigint, node bigint, size int, parity binary, whole array<bigint>, less array<bigint>")
+        run, f"{kinds}, key bigint, node bigint, size int, parity binary, small array<bigint>, whole array<bigint>, less array<bigint>")
 
 
 def _lists(values: list) -> pa.Array:
@@ -284,15 +301,13 @@ def _lists(values: list) -> pa.Array:
 
 
 def shared_signatures(signed: DataFrame) -> DataFrame:
-    """(signature, node, less, before) of the signatures that several nodes have; `before` is
-    another node with it, if any comes earlier."""
+    """(signature, node, less) of the signatures that several nodes have."""
     firsts = signed.where("whole is not null")
     one = firsts.select(F.explode("whole").alias("signature"), "node", F.lit(False).alias("less")).union(
         firsts.select(F.explode("less"), "node", F.lit(True)))
     order = Window.partitionBy("signature").orderBy("node")
     return one.withColumns({"before": F.lag("node").over(order), "after": F.lead("node").over(order)}).where(
-        (F.col("before") != F.col("node")) | (F.col("after") != F.col("node"))).select(
-        "signature", "node", "less", F.when(F.col("before") != F.col("node"), F.col("before")).alias("before"))
+        (F.col("before") != F.col("node")) | (F.col("after") != F.col("node"))).select("signature", "node", "less").distinct()
 
 
 def links(pairs: DataFrame, attributes: DataFrame, docs: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
@@ -327,30 +342,60 @@ def links(pairs: DataFrame, attributes: DataFrame, docs: DataFrame, words: int,
     return kept(both.select("a", "b", "x", "y").mapInArrow(decide, "a bigint, b bigint"), "links")
 
 
-def classes(docs: DataFrame, signed: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+def hub_pairs(rooted: DataFrame) -> DataFrame:
+    """At most one pair (a, b), a < b, a node, of rows (signature, node, less, root, weight)
+    with several roots to a signature: each node with the weightiest node of another component
+    that it shares signatures with, by the number of these."""
+    group = Window.partitionBy("signature")
+    mine = F.struct("weight", "node", "root")
+    known = rooted.withColumn("top", F.max(mine).over(group)).withColumn(
+        "second", F.max(F.when(F.col("root") != F.col("top.root"), mine)).over(group))
+    met = known.withColumn("hub", F.when(F.col("root") != F.col("top.root"), F.col("top")).otherwise(F.col("second")))
+    counted = met.groupBy("node", "hub.weight", F.col("hub.node").alias("hub")).agg(F.count("*").alias("n"))
+    best = counted.groupBy("node").agg(F.max(F.struct("n", "weight", "hub")).alias("m"))
+    return best.select(F.least("node", "m.hub").alias("a"), F.greatest("node", "m.hub").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, signed: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR,
+            rounds: int = ROUNDS) -> DataFrame:
     """(node, root) of every node with a link: the components of all similar pairs.
 
-    First each node is compared with the one earlier node it shares most signatures with, at
-    most one pair a node, which ties families of copies together. Then all pairs that share a
-    signature and are not yet in one component are compared, so every link counts, and none
-    inside a component is looked for."""
+    In each of a few rounds a node is compared with one node of another component: of those
+    it shares most signatures with, the one that shares most with all others, which in a
+    family of copies is near its origin. That ties families together with about a pair for
+    each member. Then all pairs that share a signature and are still in different components
+    are compared, so every link counts, and none inside a component is looked for; the join
+    that finds them tests small parities, so it gives out few pairs that cannot be similar."""
+    group = Window.partitionBy("signature")
     shared = kept(shared_signatures(signed), "shared")
-    attributes = kept(signed.where("whole is not null").select("node", "size", "parity", "key").join(
+    attributes = kept(signed.where("whole is not null").select("node", "size", "parity", "small", "key").join(
         shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "attributes")
-    met = shared.where("before is not null").groupBy("node", "before").agg(F.count("*").alias("n"))
-    best = met.groupBy("node").agg(F.max(F.struct("n", "before")).alias("m")).select(F.col("m.before").alias("a"), F.col("node").alias("b"))
-    first = links(best, attributes, docs, words, similar)
-    roots = components(first)
-    rooted = shared.select("signature", "node", "less").distinct().join(roots, "node", "left").select(
-        "signature", "node", "less", F.coalesce("root", "node").alias("root"))
-    group = Window.partitionBy("signature")
-    mixed = kept(rooted.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)}).where(
-        "low < high").select("signature", "node", "less", "root"), "mixed")
-    l, r = mixed.alias("l"), mixed.alias("r")
+    sized = shared.withColumn("n", F.count("*").over(group))
+    weights = sized.groupBy("node").agg(F.sum("n").alias("weight"))
+    mixed = kept(sized.drop("n").join(weights, "node").withColumn("root", F.col("node")), "mixed")
+    found = []
+    for _ in range(rounds):
+        if mixed.isEmpty():
+            break
+        found.append(links(kept(hub_pairs(mixed), "hubs"), attributes, docs, words, similar))
+        root_of = mixed.select("node", "root").distinct()
+        ties = found[-1].join(root_of.withColumnsRenamed({"node": "a", "root": "x"}), "a").join(
+            root_of.withColumnsRenamed({"node": "b", "root": "y"}), "b")
+        moved = components(ties, "x", "y").select(F.col("node").alias("root"), F.col("root").alias("_to"))
+        now = mixed.join(moved, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
+        mixed = kept(now.withColumns({"_low": F.min("root").over(group), "_high": F.max("root").over(group)}).where(
+            "_low < _high").drop("_low", "_high"), "mixed")
+    words_of_small = [F.col("small")[i].alias(f"p{i}") for i in range(SMALL)]
+    told = kept(mixed.join(attributes.select("node", "size", *words_of_small), "node"), "told")
+    l, r = told.alias("l"), told.alias("r")
+    differ = sum((F.bit_count(F.col(f"l.p{i}").bitwiseXOR(F.col(f"r.p{i}"))) for i in range(SMALL)), F.lit(0))
+    total = F.col("l.size") + F.col("r.size")
     rest = l.join(r, (F.col("l.signature") == F.col("r.signature")) & (F.col("l.node") < F.col("r.node"))
-                  & (F.col("l.root") != F.col("r.root")) & ~(F.col("l.less") & F.col("r.less"))).select(
+                  & (F.col("l.root") != F.col("r.root")) & ~(F.col("l.less") & F.col("r.less"))
+                  & (differ * (similar[0] + similar[1]) <= total * (similar[1] - similar[0]))).select(
         F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    return components(first.union(links(rest, attributes, docs, words, similar)))
+    found.append(links(rest, attributes, docs, words, similar))
+    return components(reduce(DataFrame.union, found))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR, sample: int = SAMPLE,
