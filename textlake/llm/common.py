@@ -22,10 +22,10 @@ BATCH_BYTES = 16 << 20
 SIEVE_BITS = 1 << 25
 
 
-def arrow_batches(spark: SparkSession) -> None:
+def arrow_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bound what one Arrow batch holds, by rows and bytes, since texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def raw(column: pa.Array) -> list[bytes | None]:

@@ -27,6 +27,7 @@ class Memory:
 
     def __init__(self) -> None:
         self.index: dict[str, int] = {}
+        self.limit = MEMORY
 
     def places(self, words: list[str], learn) -> tuple[np.ndarray, bool]:
         """The number of each word, and whether those met first are remembered. `learn`
@@ -38,7 +39,7 @@ class Memory:
             fresh = [words[i] for i in missing.tolist()]
             numbers = learn(list(dict.fromkeys(fresh)))
             found[missing] = np.fromiter(map(numbers.__getitem__, fresh), np.int64, len(fresh))
-            lasting = len(self.index) + len(numbers) <= MEMORY
+            lasting = len(self.index) + len(numbers) <= self.limit
             if lasting:
                 self.index.update(numbers)
         return found, lasting
@@ -183,11 +184,12 @@ class Pieces:
 _loaded: dict[tuple[str, str], object] = {}
 
 
-def load(kind: type, path: str):
-    """One encoder per worker process and file."""
+def load(kind: type, path: str, memory: int = MEMORY):
+    """One encoder per worker process and file, which remembers so many words."""
     key = (kind.__name__, path)
     if key not in _loaded:
         _loaded[key] = kind(path)
+        _loaded[key].memory.limit = memory
     return _loaded[key]
 
 

@@ -300,14 +300,40 @@ def _lists(values: list) -> pa.Array:
         pa.array(ends), pa.array(flat), mask=pa.array([v is None for v in joined], pa.bool_()))
 
 
+def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of signature, those whose signature several nodes have. Nearly all
+    have one node, so groups are told apart by array; of an unfinished group only rows of
+    one node wait for the next batch."""
+    waiting: pa.RecordBatch | None = None
+    open_signature, is_shared = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        signature, node = (batch.column(c).to_numpy() for c in ("signature", "node"))
+        before = waiting.num_rows if waiting is not None else 0
+        if before:
+            signature = np.concatenate([waiting.column("signature").to_numpy(), signature])
+            node = np.concatenate([waiting.column("node").to_numpy(), node])
+            batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
+        starts = np.flatnonzero(np.r_[True, signature[1:] != signature[:-1]])
+        several = np.minimum.reduceat(node, starts) < np.maximum.reduceat(node, starts)
+        if is_shared and signature[0] == open_signature:
+            several[0] = True
+        keep = np.repeat(several, np.diff(np.r_[starts, len(node)]))
+        open_signature, is_shared = signature[-1], bool(several[-1])
+        waiting = None if is_shared else batch.slice(int(starts[-1]))
+        found = batch.filter(pa.array(keep))
+        if found.num_rows:
+            yield found
+
+
 def shared_signatures(signed: DataFrame) -> DataFrame:
     """(signature, node, less) of the signatures that several nodes have."""
     firsts = signed.where("whole is not null")
     one = firsts.select(F.explode("whole").alias("signature"), "node", F.lit(False).alias("less")).union(
         firsts.select(F.explode("less"), "node", F.lit(True)))
-    order = Window.partitionBy("signature").orderBy("node")
-    return one.withColumns({"before": F.lag("node").over(order), "after": F.lead("node").over(order)}).where(
-        (F.col("before") != F.col("node")) | (F.col("after") != F.col("node"))).select("signature", "node", "less").distinct()
+    return one.repartition("signature").sortWithinPartitions("signature").mapInArrow(
+        shared_rows, "signature bigint, node bigint, less boolean").distinct()
 
 
 def links(pairs: DataFrame, attributes: DataFrame, docs: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:

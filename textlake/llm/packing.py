@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept, slices
-from .encoders import ByteLevel, load
+from .encoders import MEMORY, ByteLevel, load
 
 LENGTH = 1024
 END_ID = 2
@@ -20,12 +20,12 @@ END_ID = 2
 DEPTH = 3
 
 
-def tokenize(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, memory: int = MEMORY) -> DataFrame:
     """(row, doc_id, piece, start, length, ids_crc32): every document's ids and the end
     id, cut into pieces of `length` where there are more; the first piece takes what
     full ones leave over."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load(ByteLevel, path)
+        encoder = load(ByteLevel, path, memory)
         for part in slices(batches, "text"):
             ids, counts = encoder.ids(pc.fill_null(part.column("text"), "").to_pylist())
             ends = np.cumsum(counts)
@@ -202,9 +202,9 @@ def place(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     return ranked.select(*names, "rank").mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, memory: int = MEMORY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of
     every row of `docs`. A null or empty text is its end id alone; repeated rows and null
     ids are packed like any other; other columns are ignored; an empty table gives no
-    rows."""
-    return place(kept(tokenize(docs, path, length, end_id), "pieces"), length).drop("row")
+    rows. Each worker remembers the ids of `memory` words."""
+    return place(kept(tokenize(docs, path, length, end_id, memory), "pieces"), length).drop("row")
