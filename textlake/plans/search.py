@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.hangul import to_chosung
 from ..operators import chosung as ch
 from ..operators import filters as fl
+from ..operators import library as li
 from ..operators import postings as po
 from ..operators import querylog as ql
 from ..operators import ranked as ra
@@ -155,6 +156,40 @@ def _chosung_hits(t: Tables, mode: str) -> DataFrame:
     return ch.match_stored_chosung(_chosung_keywords(t), path, mode, se.WEIGHTS["chosung"])
 
 
+# files of the library: slots of documents; of the second listing a quarter is gone, a
+# quarter new, a quarter changed
+FILE_DOCS = 10
+_KEPT = "(doc_id // 10) % 4 <> 0 and ((doc_id // 10) % 4 <> 1 or doc_id % 2 = 0)"
+
+
+def _listing(t: Tables, later: bool) -> DataFrame:
+    slot, doc = F.expr(f"doc_id div {FILE_DOCS}"), F.col("doc_id")
+    kept = (slot % 4 != 0) & ((slot % 4 != 1) | (doc % 2 == 0)) if later else slot % 4 != 3
+    line = F.concat("text", F.lit("\n"))
+    return t("documents").filter(kept & F.col("text").isNotNull()).groupBy(slot.cast("string").alias("slot")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", line.alias("line")))), lambda r: r["line"]), "").alias("all")).select(
+        F.concat(F.lit("/share/"), "slot", F.lit(".txt")).alias("file_path"),
+        F.concat(F.lit("file "), "slot", F.lit(".txt")).alias("file_name"), F.encode("all", "UTF-8").alias("content"))
+
+
+@query("j1_library", sql("select * from lexical", "requests", **{
+    **match_ctes(QUERY_KEYWORDS),
+    "fields": f"""select doc_id, 'title' as field, {words('title')} as w from files
+union all select doc_id, 'body', {words('body')} from files"""}).replace("with ", f"""with files as (
+  select sha256(body) as doc_id, {sanitize("title")} as title, {sanitize("body")} as body from (
+    select 'file ' || cast(doc_id // 10 as varchar) || '.txt' as title, string_agg(text || chr(10), '' order by doc_id) as body
+    from documents where text is not null and {_KEPT} group by doc_id // 10)),
+""", 1))
+def j1_library(t: Tables) -> DataFrame:
+    """Two listings of a source, the second with files added, changed and deleted, and a
+    search of the library they leave."""
+    path = f"{shared_dir(t.spark).rstrip('/')}/library-{uuid.uuid4().hex}"
+    li.create_library(t.spark, path, buckets=32)
+    for later in (False, True):
+        li.sync_listing(_listing(t, later), path, AS_OF)
+    return se.lexical_score(_keywords(t), li.library_index(t.spark, path))
+
+
 @query("d5_match_chosung_wildcard", _chosung_sql(WILDCARD))
 def d5_wildcard(t: Tables) -> DataFrame:
     return _chosung_hits(t, "wildcard")
