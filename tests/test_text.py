@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,15 +99,48 @@ def dictionary(spark):
     return upsert_dictionary(None, frame, "n")
 
 
-@pytest.mark.parametrize("slice_size", [1, 20_000])
-def test_dictionary_rewrite(spark, slice_size):
+def test_dictionary_rewrite(spark):
     queries = spark.createDataFrame([("AI 게획 에",), ("에",), ("off b b",)], ["query"])
-    rows = {r.query: r for r in rw.rewrite_queries(queries, dictionary(spark), slice_size=slice_size).collect()}
+    rows = {r.query: r for r in rw.rewrite_queries(queries, dictionary(spark)).collect()}
     assert rows["AI 게획 에"].normalized == "AI 계획" and rows["AI 게획 에"].expanded == ["인공지능"]
     assert rows["에"].normalized == "에"
     assert rows["off b b"].normalized == "off b b"
 
 
+def plain_rewrite(query, entries):
+    """Entry after entry, as one loop."""
+    user, stop, synonyms = (sorted((t, r) for k, t, r in entries if k == kind) for kind in ("user", "stopword", "synonym"))
+    now = query.strip()
+    for term, replacement in user:
+        now = now.replace(term, replacement)
+    left = [w for w in now.split() if w not in {t for t, _ in stop}]
+    now = " ".join(left) if left else now
+    return now, list(dict.fromkeys(r for t, r in synonyms if now and t in now))
+
+
+def test_rewriting_with_a_large_dictionary_equals_a_loop(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcd e") for _ in range(rng.randrange(1, n))).strip() or "a"
+    entries = list({(k, t): (k, t, word(5)) for k, t in ((rng.choice(["user", "user", "stopword", "synonym"]), word(6)) for _ in range(900))}.values())
+    frame = spark.createDataFrame([(k, t, r, True) for k, t, r in entries], "dict_type string, term string, replacement string, is_active boolean")
+    queries = list({word(14) for _ in range(150)} | {"", "zz", "abc abc"})
+    # an entry that matches only what an earlier one has made
+    texts = spark.createDataFrame([(q, 1) for q in queries + queries[:20]], "query string, now int")
+    got = {}
+    for r in rw.rewrite_queries(texts, frame).collect():
+        assert got.setdefault(r.query, (r.normalized, r.expanded)) == (r.normalized, r.expanded)
+    assert got == {q: plain_rewrite(q, entries) for q in queries}
+    assert rw.rewrite_queries(texts, frame).count() == len(queries) + 20
+
+
+def test_no_dictionary_value_travels_with_the_rows(spark):
+    queries = spark.createDataFrame([("AI",)], ["query"])
+    out = rw.rewrite_queries(queries, dictionary(spark))
+    assert "scalar-subquery" not in out._jdf.queryExecution().analyzed().toString()
+    anchors = rw.anchored(spark.createDataFrame([("abx", "1"), ("aby", "2"), ("abz", "3"), ("q", "4")], ["term", "replacement"]))
+    assert {r.term: r.gram for r in anchors.collect()} == {"abx": "bx", "aby": "by", "abz": "bz", "q": "q"}
+
+
 def test_prepare(spark):
     queries = spark.createDataFrame([(1, "계휙서"), (2, "ㅂㅇ"), (3, "ㄱㅏㄴㅏ"), (4, "AI 사업"), (5, "")], ["qid", "query"])
     rows = {r.qid: r for r in rw.prepare_queries(queries, dictionary(spark)).collect()}
