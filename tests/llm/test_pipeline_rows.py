@@ -91,3 +91,21 @@ def test_clean_rows_of_several_blocks(spark):
     bench = spark.createDataFrame([(str(k), t) for k, t in enumerate(["cat sat", "dog ran", "x y", "z w"])], "item_id string, text string")
     left = decontam.keep_clean(docs, bench, block_bytes=8)
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == [(1, "nothing of that"), (None, None)]
+
+
+def test_blocks_are_bounded_by_bytes_and_hold_every_window(spark):
+    rng = np.random.default_rng(2)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 900, 5000))
+    items = [("a", "one two three")] * 400 + [("b", long)] + [(f"i{k}", " ".join(f"v{x}" for x in rng.integers(0, 99, 30))) for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    blocks = decontam.blocks_of(bench, 4096)
+    rows = [[(r["item_id"], r["text"]) for r in b.collect()] for b in blocks]
+    assert len(blocks) > 8 and max(sum(len(t) for _, t in b) for b in rows) < 4096 + 400
+    every = [r for b in rows for r in b]
+    assert len(every) == len(set(every)) and sum(i == "a" for i, _ in every) == 1
+    got = {w for i, t in every if i == "b" for w in decontam.windows_of(t.encode().split(), 10)}
+    assert got == set(decontam.windows_of(long.encode().split(), 10))
+    words = long.split()
+    docs = table(spark, [(1, " ".join(words[700:709])), (2, " ".join(words[3000:3012])), (3, "x One, two THREE y"), (4, None)])
+    found = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontam.decontaminate(docs, bench, block_bytes=4096).collect()}
+    assert found == {1: (0, []), 2: (12, ["b"]), 3: (3, ["a"]), 4: (0, [])}

@@ -8,14 +8,17 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import filtered, kept, raw, slices
 
 WINDOW = 10
-# normalised item bytes of one automaton; a larger benchmark takes several, one after the other
-BLOCK_BYTES = 16 << 20
+# normalised item bytes of one automaton, which has some eight nodes of 54 bytes for each: about
+# 230 MB. A larger benchmark takes several, one after the other
+BLOCK_BYTES = 1 << 19
+# a long item is cut into pieces of this share of a block
+PIECES_IN_BLOCK = 16
 # everything in ASCII but digits and letters to a space, A-Z to a-z, other bytes stay
 NORMAL = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -86,12 +89,40 @@ def join_spans(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, i
     return [tuple(x) for x in out]
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """The items in groups of about `block_bytes`, found by prefix sums over item ids."""
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    count = max(1, -(-total // block_bytes))
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) for k in range(count)]
+def pieces_of(benchmark: DataFrame, size: int, piece_words: int) -> DataFrame:
+    """(item_id, text): the different items in normal form, long ones in pieces of at most
+    `piece_words` words. Pieces of an item overlap by all but one word of a window, so they
+    have its windows and no others."""
+    items = benchmark.where("text is not null").select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            for item, text in zip(part.column("item_id").to_pylist(), raw(part.column("text")), strict=True):
+                words = text.translate(NORMAL).split()
+                step = max(1, piece_words - size + 1)
+                starts = range(0, max(1, len(words) - size + 1), step) if words else ()
+                texts = [b" ".join(words[i:i + step + size - 1]).decode() for i in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(texts), pa.string()), pa.array(texts, pa.string())], names=["item_id", "text"])
+
+    return items.mapInArrow(run, "item_id string, text string")
+
+
+def blocks_of(benchmark: DataFrame, block_bytes: int, size: int = WINDOW) -> list[DataFrame]:
+    """The items in groups of at most `block_bytes` of normal form and one piece. Pieces are
+    dealt to parts of that size on average by hash; prefix sums cut the larger parts."""
+    pieces = pieces_of(benchmark, size, max(2 * size, block_bytes // PIECES_IN_BLOCK // 8))
+    pieces = kept(pieces.withColumn("bytes", F.octet_length("text")), "pieces")
+    total = pieces.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    parts = max(1, -(-total // block_bytes))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    so_far = F.sum("bytes").over(Window.partitionBy("part").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    cut = pieces.withColumn("part", part).withColumn("cut", F.floor(F.coalesce(so_far, F.lit(0)) / block_bytes))
+    if parts > 1:
+        cut = kept(cut, "blocks")
+    places = cut.select("part", "cut").distinct().orderBy("part", "cut").collect()  # one row a block
+    return [cut.where((F.col("part") == r["part"]) & (F.col("cut") == r["cut"])).select("item_id", "text") for r in places] or [
+        cut.select("item_id", "text")]
 
 
 SCHEMA = ("n_words bigint, n_hit bigint, items array<string>, "
@@ -130,7 +161,7 @@ def collected(block: DataFrame) -> list[tuple[str, bytes]]:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs` in whose text no item has a window, as in decontaminate()."""
-    blocks = blocks_of(benchmark, block_bytes)
+    blocks = blocks_of(benchmark, block_bytes, size)
     for block in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(collected(block))
 
@@ -156,7 +187,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     other columns are ignored; empty tables give no rows or no hits."""
     numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     results = []
-    blocks = blocks_of(benchmark, block_bytes)
+    blocks = blocks_of(benchmark, block_bytes, size)
+    if len(blocks) > 1:
+        # the numbers of the rows must be the same in every scan
+        numbered = kept(numbered, "numbered")
     for block in blocks:
         got = scan(numbered, collected(block), size)
         results.append(got if len(blocks) == 1 else kept(got, "hits"))
