@@ -346,6 +346,22 @@ def test_prefer_exact_and_purge(spark):
     assert kept.count() == 1 and deleted.first().deleted == 1
 
 
+def test_exact_tests_are_gathered_per_document(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"Title {i}", "The Body text" if i % 2 else None) for i in range(6)], "doc_id long, title string, all_text string")
+    asked = [" title", "body TEXT", "", "  ", "nowhere", None, "5"]
+    rows = [(q, d, asked[q % 7], q % 2 == 0, q % 3 == 0) for q in range(42) for d in range(6)]
+    hits = spark.createDataFrame(rows, "qid long, doc_id long, corrected_query string, is_typo_corrected boolean, is_name_like boolean")
+    want = {}
+    for q, d, text, typo, name in rows:
+        both = (f"title {d}", "the body text" if d % 2 else "")
+        want[q, d] = (typo or name) and bool(text) and any(text.strip().lower() in x for x in both)
+    for most in (1000, 2):
+        monkeypatch.setattr(fl, "NEEDLES", most)
+        found = fl.with_exact(hits, docs)
+        assert {(r.qid, r.doc_id): r.exact for r in found.collect()} == want and found.count() == len(rows)
+    assert found.columns == [*hits.columns, "exact"]
+
+
 def test_embed_skips_blank_texts(spark):
     docs = spark.createDataFrame([(1, "ab" * 3000), (2, " "), (3, None)], "doc_id int, all_text string")
     out = {r.doc_id: r.text_vector for r in co.embed(docs, lambda: (lambda ts: [[len(t)] for t in ts]), 1).collect()}

@@ -8,11 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.highlight import contains_exact
-from ..functions.text import lit_of, normalize_category, normalize_ext, sanitize
+from ..functions.text import let, lit_of, normalize_category, normalize_ext, sanitize, strip
 from .postings import Index, match_phrase
 from .querylog import at
 
+# queries tested against one document at a time
+NEEDLES = 1000
 PRESETS = {"1d": {"days": 1}, "7d": {"days": 7}, "1m": {"months": 1}}
 
 
@@ -143,15 +144,31 @@ def require_exact_names(hits: DataFrame) -> DataFrame:
 
 
 def with_exact(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds `exact` to hits with corrected_query. Only hits whose request asks for the
-    test fetch their document's text."""
-    asks = F.col("is_typo_corrected") | F.col("is_name_like")
-    texts = docs.select("doc_id", F.col("title").alias("_title"), F.col("all_text").alias("_text"))
-    tested = (
-        hits.filter(asks).join(texts, "doc_id")
-        .withColumn("exact", contains_exact("_title", "_text", "corrected_query")).drop("_title", "_text")
-    )
-    return hits.filter(~asks).withColumn("exact", F.lit(False)).unionByName(tested)
+    """Adds `exact` to hits with corrected_query: whether the document holds it literally.
+
+    The different queries asked of a document are gathered, in parts of bounded size, and
+    tested where its text is read; only booleans come back to the hits, so no text is
+    joined with them and a document that many requests hit is searched once a query."""
+    asks = F.coalesce(F.col("is_typo_corrected") | F.col("is_name_like"), F.lit(False))
+    asked = hits.filter(asks).select("doc_id", "corrected_query").filter("corrected_query is not null").distinct()
+    # a part of a document's queries; each has about NEEDLES at most
+    counts = asked.groupBy("doc_id").agg(F.ceil(F.count("*") / NEEDLES).alias("_parts"))
+    needles = asked.join(counts, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("corrected_query"), F.col("_parts")).alias("_part")).agg(
+        F.collect_list("corrected_query").alias("_needles"))
+
+    def tested(text: Column) -> Column:
+        def one(raw: Column) -> Column:
+            needle = F.lower(strip(raw))
+            held = (raw != "") & (text["title"].contains(needle) | text["body"].contains(needle))
+            return F.struct(raw.alias("corrected_query"), held.alias("exact"))
+        return F.transform("_needles", one)
+
+    lowered = F.struct(F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(F.coalesce("all_text", F.lit(""))).alias("body"))
+    answers = docs.select("doc_id", "title", "all_text").join(needles, "doc_id").select(
+        "doc_id", F.explode(let(lowered, tested)).alias("a")).select("doc_id", "a.corrected_query", F.col("a.exact").alias("_exact"))
+    told = hits.filter(asks).join(answers, ["doc_id", "corrected_query"], "left").withColumn(
+        "exact", F.coalesce("_exact", F.lit(False))).drop("_exact")
+    return hits.filter(~asks).withColumn("exact", F.lit(False)).unionByName(told)
 
 
 def search_rows(df: DataFrame, columns: Sequence[str], keyword: str) -> DataFrame:
