@@ -16,7 +16,7 @@ from ..operators import querylog as ql
 from ..operators import ranked as ra
 from ..operators import search as se
 from ..operators.dictionary import upsert_dictionary
-from ..operators.vectors import knn
+from ..operators.vectors import StoredVectors, knn, read_vectors, write_vectors
 from ..session import shared_dir
 from ..sources.adapters import AS_OF, Tables, as_syllables
 from .ctes import NOW, as_syllables as syllables_sql
@@ -205,6 +205,11 @@ def d5_hybrid(t: Tables) -> DataFrame:
     return _chosung_hits(t, "hybrid")
 
 
+def stored_vectors(t: Tables) -> StoredVectors:
+    path = stored(t, "vectors", lambda place: write_vectors(t.vectors, place))
+    return read_vectors(t.spark, path)
+
+
 KNN = """select q.vec_id as qid, d.vec_id as doc_id,
   round(1 / (1 + list_distance(q.embedding::double[], d.embedding::double[]) ** 2), 6) as score,
   row_number() over (partition by q.vec_id order by round(list_distance(q.embedding::double[], d.embedding::double[]) ** 2, 9), d.vec_id) as rank
@@ -216,7 +221,7 @@ NEAR = KNN.replace("from embeddings q, embeddings d where q.vec_id in (select it
 
 @query("d6_knn", KNN)
 def d6(t: Tables) -> DataFrame:
-    return knn(t.query_vectors, t.vectors, k=10).withColumn("rank", F.col("rank").cast("long"))
+    return knn(t.query_vectors, stored_vectors(t), k=10).withColumn("rank", F.col("rank").cast("long"))
 
 
 TARGETS = f"""select qid, unnest(ks) as keyword, unnest(range(0, len(ks))) as i from (
@@ -265,7 +270,7 @@ def stored_index(t: Tables) -> po.Index:
 
 
 def _matched(t: Tables) -> ra.Matched:
-    return ra.match_requests(t.requests, t.docs, _dictionary(t), stored_index(t), t.vectors, t.query_vectors)
+    return ra.match_requests(t.requests, t.docs, _dictionary(t), stored_index(t), stored_vectors(t), t.query_vectors)
 
 
 @query("d7_hybrid_hits", sql("""
@@ -291,7 +296,7 @@ select qid, doc_id, rank, score, total, ceil(total / page_size)::bigint as total
   case when pos is null then left(all_text, 200) || '...' else {snippet_sql('all_text', 'pos', 'size')} end as summary
 from page1 left join found using (qid, doc_id)""", *SEARCH_TABLES, **HITS, **PAGE))
 def d7(t: Tables) -> DataFrame:
-    out = ra.search_pages(t.requests, t.docs, _dictionary(t), stored_index(t), t.vectors, t.query_vectors)
+    out = ra.search_pages(t.requests, t.docs, _dictionary(t), stored_index(t), stored_vectors(t), t.query_vectors)
     return out.select(
         "qid", "doc_id", F.col("rank").cast("long").alias("rank"), "score", "total",
         F.col("total_pages").cast("long").alias("total_pages"), "page", "summary")
@@ -307,7 +312,7 @@ select qid, doc_id, score, row_number() over (partition by qid order by score de
   full join near n on n.qid = l.qid and n.doc_id = l.doc_id) join docs using (doc_id)
 where score >= 0.75 qualify rank <= 10""", "docs", "requests", **match_ctes(QUERY_KEYWORDS), near=KNN))
 def d8(t: Tables) -> DataFrame:
-    out = se.hybrid_or_search(_keywords(t), t.query_vectors, t.vectors, t.docs)
+    out = se.hybrid_or_search(_keywords(t), t.query_vectors, stored_vectors(t), t.docs)
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
