@@ -173,8 +173,14 @@ def test_triage_reads_zip_members(spark):
             z.writestr(member, "x")
         return buffer.getvalue()
     rows = [("docx", archive("word/document.xml")), ("docx", archive("xl/a.xml")), ("pptx", b"PK"), ("pdf", b"%PDF-1"), ("txt", b"a"), ("", b"")]
+    # a name without an archive, an archive cut off, one with bytes in front and a comment behind
+    whole = archive("word/document.xml")
+    bare = b"PK\x03\x04" + whole[whole.index(b"PK\x01\x02"):whole.index(b"PK\x05\x06")]
+    noted = b"PK" + whole[:-2] + b"\x02\x00hi"
+    rows += [("docx", bare), ("docx", whole[:-30]), ("docx", noted), ("docx", None)]
     got = [r.reason for r in fi.triage_files(spark.createDataFrame(rows, "file_ext string, content binary")).collect()]
-    assert got == ["ok", "signature_mismatch", "signature_mismatch", "ok", "unsupported", "no_extension"]
+    assert got == ["ok", "signature_mismatch", "signature_mismatch", "ok", "unsupported", "no_extension",
+                   "signature_mismatch", "signature_mismatch", "ok", "signature_mismatch"]
 
 
 def test_files_and_judgements(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
 from pyspark.sql import DataFrame
@@ -56,15 +57,18 @@ def a5(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", fi.decode_text(content).alias("text"))
 
 
-# a central-directory entry of a zip container that names a member of a docx file
-MEMBER = b"PK\x01\x02" + bytes(42) + b"word/x"
+# what ends a zip archive with one member of a docx file, whatever stands before it: the
+# directory, and the record that tells its size
+_NAME = b"word/x"
+MEMBER = struct.pack("<4s4B4H3L5H2L", b"PK\x01\x02", 20, 0, 20, 0, 0, 0, 0, 33, 0, 0, 0, len(_NAME), 0, 0, 0, 0, 0, 0) + _NAME
+MEMBER += struct.pack("<4s4H2LH", b"PK\x05\x06", 0, 0, 1, 1, len(MEMBER), 0, 0)
 LEADS = (b"%PDF-", b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n", b"PK\x03\x04", b"")
 
 
 @query("a6_triage_files", """
 select doc_id, case when reason = 'ok' then 'ok' else 'rejected' end as status, reason from (
   select doc_id, case when ext = '' then 'no_extension'
-    when length(text) + [5, 3, 8, 56, 0][lead + 1] > 20000 then 'too_large'
+    when length(text) + [5, 3, 8, 78, 0][lead + 1] > 20000 then 'too_large'
     when ext in ('docx', 'xlsx') then case when ext = 'docx' and lead = 3 then 'ok' else 'signature_mismatch' end
     when (ext = 'pdf' and lead = 0) or (ext = 'jpg' and lead = 1) or (ext = 'png' and lead = 2) then 'ok'
     when ext in ('pdf', 'jpg', 'png') then 'signature_mismatch' else 'unsupported' end as reason

@@ -84,7 +84,7 @@ def d1_stats(t: Tables) -> DataFrame:
     "select qid, kid, field, doc_id, round(and_score, 6) as and_score from matches",
     "docs", "requests", **match_ctes(QUERY_KEYWORDS)))
 def d2(t: Tables) -> DataFrame:
-    hits = po.match_and(po.build_index(t.docs), _keywords(t))
+    hits = po.match_and(stored_index(t), _keywords(t))
     return hits.withColumn("and_score", F.round("and_score", 6))
 
 
@@ -92,7 +92,7 @@ def d2(t: Tables) -> DataFrame:
     "select qid, kid, field, doc_id, phrase_tf, round(phrase_score, 6) as phrase_score from matches where phrase_tf > 0",
     "docs", "requests", **match_ctes(QUERY_KEYWORDS)))
 def d3(t: Tables) -> DataFrame:
-    hits = po.match_phrase(po.build_index(t.docs), _keywords(t))
+    hits = po.match_phrase(stored_index(t), _keywords(t))
     return hits.withColumn("phrase_score", F.round("phrase_score", 6)).withColumn(
         "phrase_tf", F.col("phrase_tf").cast("long"))
 
@@ -382,7 +382,7 @@ select qid, doc_id, score, rank, new_score, row_number() over (partition by qid
     hot="select query from requests group by query order by count(*) desc, query limit 50",
     **match_ctes(QUERY_KEYWORDS)))
 def d11(t: Tables) -> DataFrame:
-    hits = se.lexical_score(_keywords(t), po.build_index(t.docs)).join(t.docs.select("doc_id", "indexed_at"), "doc_id")
+    hits = se.lexical_score(_keywords(t), stored_index(t)).join(t.docs.select("doc_id", "indexed_at"), "doc_id")
     page = se.top_hits(hits, 10).join(t.requests.select("qid", "query"), "qid")
     hot = ql.popular_keywords(
         t.requests.select("query", F.lit(AS_OF).cast("timestamp").alias("created_at")), AS_OF, 14, 50)
@@ -429,7 +429,7 @@ def d11_second(t: Tables) -> DataFrame:
 select qid, count(distinct doc_id) as strict_hits from requests left join (select * from matches where phrase_tf > 0) using (qid) group by 1""",
     "docs", "requests", **match_ctes(QUERY_KEYWORDS)))
 def d12(t: Tables) -> DataFrame:
-    return po.strict_hits(po.build_index(t.docs), t.requests)
+    return po.strict_hits(stored_index(t), t.requests)
 
 
 @query("c1_filter_category", sql("select doc_id, doc_category from docs where doc_category = 'PLAN'", "docs"))
@@ -468,7 +468,7 @@ select l.qid, l.doc_id from lexical l where not exists (select 1 from inc i wher
   select 1 from matches m where m.qid = i.qid and m.kid = i.kid and m.phrase_tf > 0 and m.doc_id = l.doc_id))""",
     "docs", "requests", **KEYWORD_HITS))
 def c4(t: Tables) -> DataFrame:
-    index = po.build_index(t.docs)
+    index = stored_index(t)
     hits = se.lexical_score(_keywords(t), index)
     return fl.include_keywords(hits, t.requests, index).select("qid", "doc_id")
 
@@ -478,7 +478,7 @@ select l.qid, l.doc_id from lexical l where not exists (
   select 1 from matches m where m.qid = l.qid and m.kid like 'e%' and m.phrase_tf > 0 and m.doc_id = l.doc_id)""",
     "docs", "requests", **KEYWORD_HITS))
 def c5(t: Tables) -> DataFrame:
-    index = po.build_index(t.docs)
+    index = stored_index(t)
     hits = se.lexical_score(_keywords(t), index)
     return fl.exclude_keywords(hits, t.requests, index).select("qid", "doc_id")
 
@@ -492,7 +492,7 @@ def c6(t: Tables) -> DataFrame:
 select qid, doc_id, score from lexical where score >= case when qid % 2 = 0 then 20.0 else 10.0 end""",
     "docs", "requests", **match_ctes(QUERY_KEYWORDS)))
 def c7(t: Tables) -> DataFrame:
-    hits = se.lexical_score(_keywords(t), po.build_index(t.docs))
+    hits = se.lexical_score(_keywords(t), stored_index(t))
     return fl.min_score(hits, 10.0, F.when(F.col("qid") % 2 == 0, 20.0).otherwise(0.0))
 
 
@@ -504,7 +504,7 @@ from lexical l join docs d using (doc_id) join requests r using (qid)""",
 
 
 def _flagged(t: Tables) -> DataFrame:
-    hits = se.lexical_score(_keywords(t), po.build_index(t.docs)).join(
+    hits = se.lexical_score(_keywords(t), stored_index(t)).join(
         t.requests.select("qid", F.col("query").alias("corrected_query")), "qid")
     return fl.with_exact(
         hits.withColumn("is_typo_corrected", F.col("qid") % 2 == 0).withColumn("is_name_like", F.col("qid") % 3 == 0),
@@ -543,7 +543,7 @@ select qid, doc_id, rank, total, greatest(1, ceil(total / size))::bigint as tota
 where rank > (page - 1) * size and rank <= page * size""",
     "docs", "requests", **match_ctes(QUERY_KEYWORDS)))
 def w5(t: Tables) -> DataFrame:
-    hits = se.lexical_score(_keywords(t), po.build_index(t.docs)).join(t.docs.select("doc_id", "indexed_at"), "doc_id")
+    hits = se.lexical_score(_keywords(t), stored_index(t)).join(t.docs.select("doc_id", "indexed_at"), "doc_id")
     return se.page_hits(hits.join(t.requests.select("qid", "page", "size"), "qid")).select(
         "qid", "doc_id", F.col("rank").cast("long").alias("rank"), "total", F.col("total_pages").cast("long").alias("total_pages"))
 
@@ -552,7 +552,7 @@ def w5(t: Tables) -> DataFrame:
 select qid, doc_id, score, row_number() over (partition by qid order by score desc, indexed_at desc, doc_id) as rank
 from lexical join docs using (doc_id) qualify rank <= 3""", "docs", "requests", **match_ctes(QUERY_KEYWORDS)))
 def w6(t: Tables) -> DataFrame:
-    hits = se.lexical_score(_keywords(t), po.build_index(t.docs)).join(t.docs.select("doc_id", "indexed_at"), "doc_id")
+    hits = se.lexical_score(_keywords(t), stored_index(t)).join(t.docs.select("doc_id", "indexed_at"), "doc_id")
     return se.top_hits(hits, 3).select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
