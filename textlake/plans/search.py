@@ -15,6 +15,7 @@ from ..operators import postings as po
 from ..operators import querylog as ql
 from ..operators import ranked as ra
 from ..operators import search as se
+from ..operators import suggest as su
 from ..operators.dictionary import upsert_dictionary
 from ..operators.vectors import StoredVectors, knn, read_vectors, write_vectors
 from ..session import shared_dir
@@ -346,9 +347,15 @@ def _prefixes(t: Tables) -> DataFrame:
     ).unionByName(bench.select((F.col("item_id") + 100000).alias("qid"), F.substring(first, 1, 2).alias("prefix")))
 
 
+def _suggested(t: Tables) -> DataFrame:
+    path = stored(t, "suggestions", lambda place: su.write_suggestions(t.docs, place))
+    grams = stored(t, "own-grams", lambda place: ch.write_grams(t.docs, place, buckets=64))
+    return su.suggest(_prefixes(t), path, t.docs, grams)
+
+
 @query("d9_autocomplete", sql("select qid, title, rank from suggestions", "docs", **SUGGESTED))
 def d9(t: Tables) -> DataFrame:
-    return se.autocomplete(_prefixes(t), t.docs).withColumn("rank", F.col("rank").cast("long"))
+    return _suggested(t).withColumn("rank", F.col("rank").cast("long"))
 
 
 POPULAR_TITLES = """select title, row_number() over (order by count(*) desc, title) - 1 as popular_rank
@@ -365,7 +372,7 @@ def d10(t: Tables) -> DataFrame:
         t.docs.select(F.col("title").alias("query"), F.lit(AS_OF).cast("timestamp").alias("created_at")), AS_OF, 14, 100)
     ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("o"), "keyword"))).alias("x")).select(
         F.posexplode("x").alias("popular_rank", "e")).select(F.col("e.keyword").alias("keyword"), "popular_rank")
-    out = se.boost_autocomplete(se.autocomplete(_prefixes(t), t.docs), ranked)
+    out = se.boost_autocomplete(_suggested(t), ranked)
     return out.select("qid", "title", F.col("popular_rank").cast("long").alias("popular_rank"),
                       F.col("position").cast("long").alias("position"))
 
