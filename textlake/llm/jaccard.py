@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, kept, raw, sieve, sifted, slices, words_of
+from .common import LOWER, kept, located, raw, sieve, sifted, slices, words_of
 from .graph import components
 
 WORDS = 5
@@ -446,14 +446,6 @@ def near_groups(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
         signed.where("size = 0").select("doc_id", F.col("size").cast("bigint"), "doc_id"))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """`docs` with the file and the place in it of each row. Anything but a plain read of files
-    is stored first, so that each row has a place of its own."""
-    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
-        docs = kept(docs, "rows")
-    return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-
-
 def keep_one(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """One row of each group of `near_groups`, with all its columns: that with the smallest
     doc_id, a null id last, the first stored where ids repeat. Null and wordless texts are one

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, located, sieve, sifted
 
 BREAK = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -44,17 +44,23 @@ def write_captures(pages: DataFrame, path: str, min_revisit: int = 0) -> None:
     gzip files of whole records under `path`.
 
     Of pages with equal payloads of at least `min_revisit` bytes, the one with the
-    largest page_id (of equal ids, the last read) is the response and others revisit it;
+    largest page_id (of equal ids, the last stored) is the response and others revisit it;
     smaller payloads are all responses. A null html is an empty payload, a null url is
-    left out, and line breaks in urls become spaces. The join on the digest has one row
-    per digest on its other side, and large partitions of copies are split by Spark."""
-    keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"),
-                         F.monotonically_increasing_id().alias("place"))
-    keyed = keyed.withColumn("digest", sha1_base32(F.col("html").cast("binary")))
-    top = keyed.groupBy("digest").agg(F.max(F.struct("page_id", "place")).alias("top"))
+    left out, and line breaks in urls become spaces. Pages whose payload is surely their own,
+    by a bitmap of the hashes seen twice, are written where they are read. Only the others
+    meet in the join on the digest, which has one row per digest on its other side, and
+    whose large partitions of copies are split by Spark."""
+    keyed = located(pages).select(
+        "page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.concat_ws("#", "_file", F.lpad("_at", 19, "0")).alias("place"))
+    keyed = keyed.withColumn("hash", F.xxhash64("html"))
+    twice = keyed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    keyed = sifted(keyed, "hash", sieve(twice, "hash"), "maybe").withColumn("digest", sha1_base32(F.col("html").cast("binary")))
+    alone, maybe = (keyed.where(t).drop("hash", "maybe") for t in ("not maybe", "maybe"))
+    top = maybe.groupBy("digest").agg(F.max(F.struct("page_id", "place")).alias("top"))
     own = _id(F.col("page_id"), F.col("place"), F.lit("response"))
     size = F.octet_length("html")
-    told = keyed.join(top, "digest").withColumn(
+    columns = ["page_id", "url", "html", "place", "digest", "top"]
+    told = alone.withColumn("top", F.struct("page_id", "place")).select(columns).union(maybe.join(top, "digest").select(columns)).withColumn(
         "revisit", (size >= min_revisit) & ~F.col("top").eqNullSafe(F.struct("page_id", "place")))
     uri = F.regexp_replace("url", "[\r\n]+", " ")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
