@@ -119,11 +119,12 @@ def doc_range(doc_id: Column, ranges: int) -> Column:
 
 def write_folded(folded: DataFrame, place: str, buckets: int, *within: str) -> None:
     """Rows (field, term, doc_id, ...) in folders by word bucket, in order of (term, `within`,
-    document) inside; a frequent word is spread over several files."""
+    document) inside. Partitions are rebalanced by their sizes as they turn out, so that a
+    frequent word is spread over several files and nothing is worked out twice for samples."""
     order = ["term_bucket", "term", *within, "doc_id"]
     (
         folded.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-        .repartitionByRange(*order).sortWithinPartitions(*order)
+        .hint("rebalance", F.col("term_bucket")).sortWithinPartitions(*order)
         .write.mode("errorifexists").partitionBy("term_bucket").parquet(place)
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hangul import is_chosung_query, restore_jamo
 from ..functions.text import sanitize
+from ..session import materialize
 from .chosung import match_stored_chosung
 from .postings import (
     DEFAULT_ANALYZER,
@@ -28,6 +29,7 @@ from .postings import (
     term_bucket,
     tf_norm,
 )
+from .search import match_chosung
 
 TITLE_COLUMN = {"title": "title"}
 # between two words of a key, with the distance of their places
@@ -60,13 +62,13 @@ def write_suggestions(docs: DataFrame, path: str, segment: int = 1, k: int = 20,
     runs = _runs(docs, analyzer).groupBy("key", "doc_id", "title", "dl").agg(F.count("*").cast("int").alias("tf"))
     first = Window.partitionBy("key", "tf", "dl").orderBy("title")
     best = runs.select("key", "tf", "dl", "title").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k).drop("n")
-    best.withColumn("term_bucket", term_bucket(F.col("key"), buckets)).repartitionByRange("term_bucket", "key").sortWithinPartitions(
+    best.withColumn("term_bucket", term_bucket(F.col("key"), buckets)).hint("rebalance", F.col("term_bucket")).sortWithinPartitions(
         "term_bucket", "key").write.mode("errorifexists").partitionBy("term_bucket").parquet(f"{path}/titles/segment={segment}")
     words = build_postings(docs, TITLE_COLUMN, analyzer).select("term", "doc_id", "dl").distinct()
     begun = F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.concat(F.lit("^"), F.col("term").substr(F.lit(1), n)))
     found = words.select(F.explode(F.concat(F.array(F.concat(F.lit("="), F.col("term"))), begun)).alias("term"), "doc_id").distinct()
-    found.groupBy("term").agg(F.count("*").alias("df")).withColumn("term_bucket", term_bucket(F.col("term"), buckets)).repartitionByRange(
-        "term_bucket", "term").write.mode("errorifexists").partitionBy("term_bucket").parquet(f"{path}/words/segment={segment}")
+    found.groupBy("term").agg(F.count("*").alias("df")).withColumn("term_bucket", term_bucket(F.col("term"), buckets)).hint(
+        "rebalance", F.col("term_bucket")).sortWithinPartitions("term_bucket", "term").write.mode("errorifexists").partitionBy("term_bucket").parquet(f"{path}/words/segment={segment}")
     words.select("doc_id", "dl").distinct().agg(
         F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"), F.lit(k).alias("k"), F.lit(buckets).alias("buckets")).write.mode(
         "errorifexists").parquet(f"{path}/stats/segment={segment}")
@@ -75,7 +77,8 @@ def write_suggestions(docs: DataFrame, path: str, segment: int = 1, k: int = 20,
 def suggest(prefixes: DataFrame, path: str, docs: DataFrame, grams: str | None = None, k: int = 5, chosung_mode: str = "wildcard",
             analyzer: Analyzer = DEFAULT_ANALYZER) -> DataFrame:
     """(qid, title, rank) as `autocomplete` gives it, for typed prefixes (qid, prefix), from
-    the table at `path`; chosung inputs from the gram table `grams`. Nothing is tokenised but
+    the table at `path`; chosung inputs, if there are any, from the gram table `grams`, or by a
+    scan of the texts without one. Nothing is tokenised but
     the inputs, and of `docs` only titles of chosung hits are read. A stop word between the
     words of an input stands for any word; such inputs, if there are any, match the titles."""
     spark = prefixes.sparkSession
@@ -108,8 +111,9 @@ def suggest(prefixes: DataFrame, path: str, docs: DataFrame, grams: str | None =
         hits = match_keywords(index, others).filter(F.col("phrase_tf") > 0)
         rows = rows.unionByName(hits.join(docs.select("doc_id", "title"), "doc_id").filter(F.coalesce("title", F.lit("")) != "").select(
             "qid", "title", F.round("phrase_score", 6).alias("score")))
-    if grams is not None:
-        chosung = match_stored_chosung(typed.filter("_c").drop("_c"), grams, chosung_mode, 1.0).select("qid", "doc_id", "score")
+    initials = materialize(typed.filter("_c").drop("_c"), "initials")
+    if not initials.isEmpty():
+        chosung = match_stored_chosung(initials, grams, chosung_mode, 1.0) if grams else match_chosung(initials, docs, chosung_mode, 1.0)
         rows = rows.unionByName(chosung.join(docs.select("doc_id", "title"), "doc_id").filter(
             F.coalesce("title", F.lit("")) != "").select("qid", "title", "score"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("title"))

@@ -152,9 +152,12 @@ def stored(t: Tables, label: str, write) -> str:
     return _STORED[key]
 
 
+def stored_grams(t: Tables) -> str:
+    return stored(t, "grams", lambda place: ch.write_grams(t.hangul_docs, place, buckets=64))
+
+
 def _chosung_hits(t: Tables, mode: str) -> DataFrame:
-    path = stored(t, "grams", lambda place: ch.write_grams(t.hangul_docs, place, buckets=64))
-    return ch.match_stored_chosung(_chosung_keywords(t), path, mode, se.WEIGHTS["chosung"])
+    return ch.match_stored_chosung(_chosung_keywords(t), stored_grams(t), mode, se.WEIGHTS["chosung"])
 
 
 # files of the library: slots of documents; of the second listing a quarter is gone, a
@@ -347,10 +350,16 @@ def _prefixes(t: Tables) -> DataFrame:
     ).unionByName(bench.select((F.col("item_id") + 100000).alias("qid"), F.substring(first, 1, 2).alias("prefix")))
 
 
+def stored_suggestions(t: Tables) -> str:
+    return stored(t, "suggestions", lambda place: su.write_suggestions(t.docs, place))
+
+
 def _suggested(t: Tables) -> DataFrame:
-    path = stored(t, "suggestions", lambda place: su.write_suggestions(t.docs, place))
-    grams = stored(t, "own-grams", lambda place: ch.write_grams(t.docs, place, buckets=64))
-    return su.suggest(_prefixes(t), path, t.docs, grams)
+    return su.suggest(_prefixes(t), stored_suggestions(t), t.docs)
+
+
+# what searches read besides the documents; the first search that needs one writes it
+STORED_TABLES = {"index": stored_index, "grams": stored_grams, "vectors": stored_vectors, "suggestions": stored_suggestions}
 
 
 @query("d9_autocomplete", sql("select qid, title, rank from suggestions", "docs", **SUGGESTED))
