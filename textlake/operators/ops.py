@@ -11,6 +11,15 @@ from .querylog import at
 DELETED_SOURCE = "(삭제됨)"
 DEFAULT_INTERVAL = 1440
 SHOWN_FAILURES = 8
+SCHEDULER_STOPPED = "자동 색인 스케줄러 중지"
+EXPIRED = "만료 인증서 "
+DUE = "일 내 만료 인증서 "
+ITEMS = "건"
+FAILURES_RISE = "실패율 급등 감지 "
+TIMES = "배"
+HEALTHY = "운영 상태 정상"
+AND_MORE = " 외 "
+HEADLINE = ("총 ", "건 (성공 ", " / 실패 ", " / 스킵 ", " / 변경없음 ", ")")
 # ------------------------------------------------------------------------------
 SOURCE_KEY = ["source_type", "source_id"]
 
@@ -151,13 +160,13 @@ def alert_badges(spike: DataFrame, expiry: DataFrame, warn_days: int = 7, schedu
         return F.col(c).cast("string")
 
     raised = F.array_compact(F.array(
-        F.when(F.lit(not scheduler_running), badge("scheduler_stopped", "critical", F.lit("자동 색인 스케줄러 중지"))),
-        F.when(F.col("expired") > 0, badge("certificate_expired", "critical", F.lit("만료 인증서 "), count("expired"), F.lit("건")))
-        .when(F.col("due") > 0, badge("certificate_due", "warning", F.lit(f"{warn_days}일 내 만료 인증서 "), count("due"), F.lit("건"))),
+        F.when(F.lit(not scheduler_running), badge("scheduler_stopped", "critical", F.lit(SCHEDULER_STOPPED))),
+        F.when(F.col("expired") > 0, badge("certificate_expired", "critical", F.lit(EXPIRED), count("expired"), F.lit(ITEMS)))
+        .when(F.col("due") > 0, badge("certificate_due", "warning", F.lit(f"{warn_days}{DUE}"), count("due"), F.lit(ITEMS))),
         F.when(F.col("is_spike"), badge(
-            "failure_rate_spike", "warning", F.lit("실패율 급등 감지 "), F.format_string("%.2f", "ratio"), F.lit("배"))),
+            "failure_rate_spike", "warning", F.lit(FAILURES_RISE), F.format_string("%.2f", "ratio"), F.lit(TIMES))),
     ))
-    healthy = F.array(badge("healthy", "info", F.lit("운영 상태 정상")))
+    healthy = F.array(badge("healthy", "info", F.lit(HEALTHY)))
     return state.withColumn("b", F.when(F.size(raised) > 0, raised).otherwise(healthy)).select(F.explode("b").alias("b")).select("b.*")
 
 
@@ -195,7 +204,7 @@ def sync_summary(outcomes: DataFrame, trigger: str = "manual", order: str = "fil
     n_shown = F.coalesce(F.size("names"), F.lit(0))
     listed = F.array_join(F.transform("names", lambda e: e["file_name"]), ", ")
     more = F.when(F.col("failed") > n_shown, F.concat(
-        F.lit(" 외 "), (F.col("failed") - n_shown).cast("string"), F.lit("건"))).otherwise("")
+        F.lit(AND_MORE), (F.col("failed") - n_shown).cast("string"), F.lit(ITEMS))).otherwise("")
     files = F.when(n_shown > 0, F.concat(listed, more)).otherwise("")
     message = F.concat(
         F.lit(f"trigger={trigger}, source_id="), F.col("source_name"), F.lit(", total="), F.col("total"), F.lit(", success="), F.col("success"),
@@ -203,8 +212,8 @@ def sync_summary(outcomes: DataFrame, trigger: str = "manual", order: str = "fil
         F.lit(", failed="), F.col("failed"),
         F.when(files != "", F.concat(F.lit(", failed_files="), files)).otherwise(""))
     headline = F.concat(
-        F.lit("총 "), F.col("total"), F.lit("건 (성공 "), F.col("success"), F.lit(" / 실패 "), F.col("failed"),
-        F.lit(" / 스킵 "), F.col("skipped"), F.lit(" / 변경없음 "), F.col("unchanged"), F.lit(")"))
+        *[x for text, name in zip(HEADLINE, ("total", "success", "failed", "skipped", "unchanged"), strict=False)
+          for x in (F.lit(text), F.col(name))], F.lit(HEADLINE[-1]))
     return counts.join(shown, keys, "left").select(
         *keys, "total", "success", "skipped", "unchanged", "failed", status.alias("status"),
         headline.alias("file_name"),
