@@ -89,6 +89,24 @@ def test_lockouts_against_a_plain_loop(spark):
     assert got == want and {"locked", "rejected"} <= set(want.values())
 
 
+def test_locks_begin_and_end_on_the_microsecond(spark):
+    rng = random.Random(5)
+    rows, ends = [], {}
+    for u in range(40):
+        begun = NOW + timedelta(microseconds=rng.randrange(10**9))
+        times = [begun + timedelta(microseconds=n * 75 * 10**6) for n in range(5)]
+        end = times[-1] + timedelta(seconds=900)
+        # the window's last microsecond counts; the block's last one is rejected, its end is not
+        times += [end - timedelta(microseconds=1), end]
+        rows += [(u * 10 + n, t, f"u{u}", "ip", False) for n, t in enumerate(times)]
+        ends[u] = end
+    frame = spark.createDataFrame(rows, "id long, ts timestamp, username string, client_ip string, success boolean")
+    got = {r.id: (r.outcome, r.blocked_until) for r in lockouts(frame).collect()}
+    for u, end in ends.items():
+        assert [got[u * 10 + n][0] for n in range(7)] == ["failed"] * 4 + ["locked", "rejected", "failed"]
+        assert got[u * 10 + 4][1] == got[u * 10 + 5][1] == end
+
+
 def test_five_failures_lock_and_success_clears():
     state = Attempts()
     assert [state.record(t, False) for t in (1000, 1010, 1020, 1030, 1040, 1050)] == ["failed"] * 4 + ["locked", "rejected"]

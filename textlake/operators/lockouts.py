@@ -26,23 +26,23 @@ RESULT = "id long, user_key string, ts timestamp, outcome string, blocked_until
 
 @dataclass
 class Attempts:
-    """State of one key; times are seconds."""
+    """State of one key; times are seconds, or whole parts of which `unit` make a second."""
 
     fails: int = 0
-    start: float = 0.0
-    blocked_until: float = 0.0
+    start: float = 0
+    blocked_until: float = 0
 
-    def record(self, now: float, success: bool) -> str:
+    def record(self, now: float, success: bool, unit: int = 1) -> str:
         if self.blocked_until > now:
             return "rejected"
         if success:
-            self.fails, self.start, self.blocked_until = 0, 0.0, 0.0
+            self.fails, self.start, self.blocked_until = 0, 0, 0
             return "success"
-        if self.fails == 0 or now - self.start > WINDOW_SECONDS:
+        if self.fails == 0 or now - self.start > WINDOW_SECONDS * unit:
             self.fails, self.start = 0, now
         self.fails += 1
         if self.fails >= MAX_FAILURES:
-            self.blocked_until = now + BLOCK_SECONDS
+            self.blocked_until = now + BLOCK_SECONDS * unit
             return "locked"
         return "failed"
 
@@ -72,17 +72,18 @@ def lockouts(events: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, Attempts()
         for batch in batches:
-            seconds = batch["ts"].astype("datetime64[ns]").astype("int64") / 10**9
+            # whole microseconds: a fraction of a second as a float is off by some nanoseconds
+            micros = batch["ts"].astype("datetime64[us]").astype("int64")
             outcomes, until = [], []
             for key, piece, now, success in zip(
-                    batch["user_key"], batch["piece"], seconds, batch["success"], strict=True):
+                    batch["user_key"], batch["piece"], micros, batch["success"], strict=True):
                 if (key, piece) != current:
                     current, state = (key, piece), Attempts()
-                outcomes.append(state.record(now, bool(success)))
-                until.append(pd.Timestamp(state.blocked_until, unit="s") if state.blocked_until else pd.NaT)
+                outcomes.append(state.record(now, bool(success), 10**6))
+                until.append(state.blocked_until or None)
             yield pd.DataFrame({
                 "id": batch["id"], "user_key": batch["user_key"], "ts": batch["ts"],
-                "outcome": outcomes, "blocked_until": pd.Series(until, dtype="datetime64[ns]", index=batch.index)})
+                "outcome": outcomes, "blocked_until": pd.Series(until, dtype="Int64", index=batch.index).astype("datetime64[us]")})
 
     return ordered.mapInPandas(run, RESULT)
 
