@@ -56,3 +56,22 @@ def test_work_follows_the_candidates(spark, texts):
     assert "all_text" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [r.term for r in ch._pieces(patterns).orderBy("offset").collect()] == ["ㄱㄴㄷ", "ㄹㅁㅂ", "ㅁㅂㅅ"]
     assert {r.doc_id for r in found.collect()} >= {200, 202}
+
+
+def test_a_gram_takes_one_row_for_many_texts(spark, texts, tmp_path):
+    docs, _ = texts
+    path = str(tmp_path / "g")
+    ch.write_grams(docs.coalesce(1), path, buckets=4)
+    stored = spark.read.parquet(f"{path}/postings")
+    held = stored.selectExpr("sum(size(docs))").first()[0]
+    assert stored.count() == stored.select("field", "term").distinct().count() and held > 4 * stored.count()
+
+
+def test_letters_beyond_one_number_are_cut_into_parts():
+    signs = "".join(chr(0x20000 + i) for i in range(40_000))
+    texts = [signs + f"{i:06}" for i in range(2)] + ["", "ab"]
+    want = {(t[i:i + 3], k) for k, t in enumerate(texts) for i in range(len(t) - 2)}
+    copies = 40_000
+    got = {(term, k) for terms, ends, places in ch._grams(texts + ["zz"] * copies, 3)
+           for term, start, end in zip(terms, ends, ends[1:], strict=False) for k in places[start:end].tolist()}
+    assert got == want
