@@ -44,3 +44,25 @@ def test_one_look_up_and_no_tokens(spark, tmp_path):
     out = su.suggest(spark.createDataFrame([(1, "alpha g")], "qid long, prefix string"), path, docs)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert rows(out) == [(1, 1, "alpha gamma")] and "all_text" not in plan and plan.count("key#") > 0
+
+
+def test_a_title_is_stored_once_for_each_word(spark, tmp_path):
+    name = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = spark.createDataFrame([(i, f"{name} {i}", "x") for i in range(30)], "doc_id long, title string, all_text string")
+    path = str(tmp_path / "s")
+    su.write_suggestions(docs, path, k=5, buckets=4)
+    stored = spark.read.parquet(f"{path}/titles").unionByName(spark.read.parquet(f"{path}/runs"), allowMissingColumns=True)
+    # nine words and 43 beginnings of words, of which each keeps five titles
+    assert stored.count() <= 30 * 9 + 5 * 60
+    asked = spark.createDataFrame([(1, "beta gamma delta e"), (2, "zeta eta theta 1"), (3, "gam")], "qid long, prefix string")
+    assert rows(su.suggest(asked, path, docs)) == rows(se.autocomplete(asked, docs))
+
+
+def test_titles_under_one_id_keep_their_counts(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta", "x"), (1, "alpha beta", "x"), (2, "alpha bet", "y"), (3, "alpha beta", "z"), (None, "alpha b", "n")],
+                                 "doc_id long, title string, all_text string")
+    path = str(tmp_path / "s")
+    su.write_suggestions(docs, path, buckets=4)
+    held = spark.read.parquet(f"{path}/titles").filter("key like '%alpha'").select("title", "tf", "dl").collect()
+    # two rows of one id: two places and two titles
+    assert sorted(map(tuple, held)) == [("alpha bet", 1, 2), ("alpha beta", 1, 2), ("alpha beta", 4, 2)]

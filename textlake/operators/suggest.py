@@ -1,10 +1,12 @@
-"""Autocomplete from a stored table: from what may have been typed to the best titles.
+"""Autocomplete from stored tables: from what may have been typed to the best titles.
 
-What can be typed is a run of words of a title, the last one possibly only begun. The table
-holds a row for each of these, and for each (times it occurs in a title, words of the title)
-with the first titles in order of name. An input's score depends on these two numbers and on
-frequencies of its words, so its best titles are found by one look-up, whatever the
-frequencies have become, and tables of several runs are merged by name alone."""
+What can be typed is a run of words of a title, the last one possibly only begun. For a
+single word, a table holds a row for each of its beginnings, and for each (times it occurs in
+a title, words of the title) with the first titles in order of name. For more words, another
+holds every title once from each of its words on: what was typed is the beginning of such a
+row, found by its first word. An input's score depends on these two numbers and on
+frequencies of its words, so its best titles are found by look-ups, whatever the frequencies
+have become, and tables of several runs are merged by name alone."""
 
 from __future__ import annotations
 
@@ -36,39 +38,57 @@ TITLE_COLUMN = {"title": "title"}
 STEP = "\x01"
 
 
-def _runs(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """(key, doc_id, title, dl, start): every run of words of every title, once with each
-    beginning of its last word."""
+def _titles(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """(no, title, dl, w, times) of different titles: their words, and how many times what is
+    found in them counts, which is more than once where documents share an id."""
     words = build_postings(docs, TITLE_COLUMN, analyzer).groupBy("doc_id", "dl").agg(
         F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("w"))
+    titled = docs.select("doc_id", "title").filter(F.coalesce("title", F.lit("")) != "")
+    each = words.join(titled, "doc_id").groupBy("doc_id", "dl", "title").agg(F.first("w").alias("w"), F.count("*").alias("times"))
+    return each.select("title", "dl", "w", "times").distinct().withColumn("no", F.monotonically_increasing_id())
 
-    def from_start(w: Column, i: Column) -> Column:
-        rest = F.slice(w, i + 1, F.size(w))
-        def begun(e: Column, j: Column) -> Column:
-            head = F.transform(F.slice(rest, 1, j), lambda x: F.concat((x["pos"] - rest[0]["pos"]).cast("string"), F.lit(STEP), x["term"]))
-            lead = F.concat(F.array_join(head, STEP), F.when(j > 0, STEP).otherwise(""), (e["pos"] - rest[0]["pos"]).cast("string"), F.lit(STEP))
-            return F.transform(F.sequence(F.lit(1), F.length(e["term"])), lambda n: F.concat(lead, e["term"].substr(F.lit(1), n)))
-        return F.transform(F.flatten(F.transform(rest, begun)), lambda k: F.struct(k.alias("key"), i.alias("start")))
 
-    keys = F.flatten(F.transform("w", lambda e, i: from_start(F.col("w"), i)))
-    titled = docs.select("doc_id", "title").filter(F.coalesce("title", F.lit("")) != "")
-    return words.join(titled, "doc_id").select("doc_id", "title", "dl", F.explode(keys).alias("k")).select("k.*", "doc_id", "title", "dl")
+def _begun(titles: DataFrame) -> DataFrame:
+    """(key, tf, dl, title): every beginning of every word of every title."""
+    beginnings = F.flatten(F.transform("w", lambda e: F.transform(
+        F.sequence(F.lit(1), F.length(e["term"])), lambda n: F.concat(F.lit(f"0{STEP}"), e["term"].substr(F.lit(1), n)))))
+    # the rows of a title are counted where they are made
+    return titles.repartition("no").select("no", "title", "dl", "times", F.explode(beginnings).alias("key")).groupBy(
+        "no", "key", "title", "dl").agg(F.sum("times").cast("int").alias("tf")).select("key", "tf", "dl", "title")
+
+
+def _runs(titles: DataFrame) -> DataFrame:
+    """(first, key, no, title, dl, times): every title from each of its words but the last on,
+    words with their distances from the first."""
+    def from_start(i: Column) -> Column:
+        rest = F.slice("w", i + 1, F.size("w"))
+        said = F.transform(rest, lambda x: F.concat((x["pos"] - rest[0]["pos"]).cast("string"), F.lit(STEP), x["term"]))
+        return F.struct(rest[0]["term"].alias("first"), F.array_join(said, STEP).alias("key"))
+
+    starts = F.sequence(F.lit(0), F.size("w") - 2)
+    return titles.filter(F.size("w") > 1).select(F.explode(F.transform(starts, from_start)).alias("r"), "no", "title", "dl", "times").select(
+        "r.first", "r.key", "no", "title", "dl", "times")
+
+
+def _write(rows: DataFrame, place: str, name: str, buckets: int) -> None:
+    rows.withColumn("term_bucket", term_bucket(F.col(name), buckets)).hint("rebalance", F.col("term_bucket")).sortWithinPartitions(
+        "term_bucket", name).write.mode("errorifexists").option("compression", "zstd").partitionBy("term_bucket").parquet(place)
 
 
 def write_suggestions(docs: DataFrame, path: str, segment: int = 1, k: int = 20, buckets: int = 64,
                       analyzer: Analyzer = DEFAULT_ANALYZER) -> None:
-    """Store what `suggest` needs of documents (doc_id, title), as a segment of the table at
-    `path`: `k` titles at most for each key and score. Segments must not share documents."""
-    runs = _runs(docs, analyzer).groupBy("key", "doc_id", "title", "dl").agg(F.count("*").cast("int").alias("tf"))
+    """Store what `suggest` needs of documents (doc_id, title), as a segment of the tables at
+    `path`: `k` titles at most for each begun word and score. Segments must not share documents."""
+    titles = materialize(_titles(docs, analyzer), "titles")
     first = Window.partitionBy("key", "tf", "dl").orderBy("title")
-    best = runs.select("key", "tf", "dl", "title").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k).drop("n")
-    best.withColumn("term_bucket", term_bucket(F.col("key"), buckets)).hint("rebalance", F.col("term_bucket")).sortWithinPartitions(
-        "term_bucket", "key").write.mode("errorifexists").partitionBy("term_bucket").parquet(f"{path}/titles/segment={segment}")
-    words = build_postings(docs, TITLE_COLUMN, analyzer).select("term", "doc_id", "dl").distinct()
+    # equal titles have one rank, so the first are told before anything is shuffled
+    best = _begun(titles).withColumn("n", F.dense_rank().over(first)).filter(F.col("n") <= k).drop("n").distinct()
+    _write(best, f"{path}/titles/segment={segment}", "key", buckets)
+    _write(_runs(titles), f"{path}/runs/segment={segment}", "first", buckets)
+    words = build_postings(docs, TITLE_COLUMN, analyzer).select("term", "doc_id", "dl").repartition("doc_id").distinct()
     begun = F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.concat(F.lit("^"), F.col("term").substr(F.lit(1), n)))
     found = words.select(F.explode(F.concat(F.array(F.concat(F.lit("="), F.col("term"))), begun)).alias("term"), "doc_id").distinct()
-    found.groupBy("term").agg(F.count("*").alias("df")).withColumn("term_bucket", term_bucket(F.col("term"), buckets)).hint(
-        "rebalance", F.col("term_bucket")).sortWithinPartitions("term_bucket", "term").write.mode("errorifexists").partitionBy("term_bucket").parquet(f"{path}/words/segment={segment}")
+    _write(found.groupBy("term").agg(F.count("*").alias("df")), f"{path}/words/segment={segment}", "term", buckets)
     words.select("doc_id", "dl").distinct().agg(
         F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"), F.lit(k).alias("k"), F.lit(buckets).alias("buckets")).write.mode(
         "errorifexists").parquet(f"{path}/stats/segment={segment}")
@@ -100,10 +120,16 @@ def suggest(prefixes: DataFrame, path: str, docs: DataFrame, grams: str | None =
     open_words = asked.filter(~whole).select("qid")
     asked = asked.filter(whole)
     part = F.transform("w", lambda e: F.concat((e["qpos"] - F.col("w")[0]["qpos"]).cast("string"), F.lit(STEP), F.substring(e["term"], 2, 2 ** 30)))
-    asked = asked.select("qid", "idf_sum", F.array_join(part, STEP).alias("key")).withColumn(
-        "term_bucket", term_bucket(F.col("key"), stats["buckets"]))
+    asked = asked.select("qid", "idf_sum", F.array_join(part, STEP).alias("key"), F.size("w").alias("n"),
+                         F.substring(F.col("w")[0]["term"], 2, 2 ** 30).alias("first"))
     avgdl = F.lit((stats["words"] or 0) / max(1, stats["n"] or 0))
-    rows = spark.read.parquet(f"{path}/titles").join(asked, ["term_bucket", "key"]).select(
+    single = asked.filter(F.col("n") == 1).select("qid", "idf_sum", "key").withColumn("term_bucket", term_bucket(F.col("key"), stats["buckets"]))
+    several = asked.filter(F.col("n") > 1).select("qid", "idf_sum", F.col("key").alias("typed"), "first").withColumn(
+        "term_bucket", term_bucket(F.col("first"), stats["buckets"]))
+    begun = spark.read.parquet(f"{path}/titles").join(single, ["term_bucket", "key"]).select("qid", "idf_sum", "title", "tf", "dl")
+    runs = spark.read.parquet(f"{path}/runs").join(several, ["term_bucket", "first"]).filter(F.col("key").startswith(F.col("typed"))).groupBy(
+        "qid", "segment", "no", "title", "dl").agg(F.max("idf_sum").alias("idf_sum"), F.sum("times").alias("tf"))
+    rows = begun.unionByName(runs.select("qid", "idf_sum", "title", "tf", "dl")).select(
         "qid", "title", F.round(F.col("idf_sum") * tf_norm(F.col("tf"), F.col("dl"), avgdl), 6).alias("score"))
     if not open_words.isEmpty():
         others = words.join(open_words, "qid", "left_semi").drop("term_bucket")
