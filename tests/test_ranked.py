@@ -120,3 +120,14 @@ def test_a_far_page_of_one_request_is_its_own(spark):
     hits = spark.createDataFrame(rows, "qid long, doc_id long, score double, indexed_at timestamp, size int, page int")
     got = se.page_hits(hits).collect()
     assert sorted(r.rank for r in got if r.qid == 1) == [1, 2, 3, 4, 5] and not [r for r in got if r.qid == 2]
+
+
+def test_words_are_folded_where_their_document_is(spark, library):
+    docs, path = library
+    folded = po.build_index(docs).dealt.groupBy("field", "term", "doc_id").agg(F.max("dl"))
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    # texts are dealt out once, words are not
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(doc_id" in plan
+    plain = po.build_postings(docs).groupBy("field", "term", "doc_id").agg(F.sort_array(F.collect_list("pos")), F.count("*"), F.max("dl"))
+    stored = po.read_index(spark, path).postings.select("field", "term", "doc_id", "positions", F.col("tf").cast("long"), "dl")
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, plain.collect()))
