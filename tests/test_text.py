@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +165,31 @@ def test_valid_utf8(spark):
 
 def test_digest_falls_back_to_the_name(spark):
     assert one(spark, tx.content_digest("a", "b"), "!!", "f.txt") == one(spark, F.sha2(F.lit("ftxt"), 256), "x")
+
+
+def test_sanitize_drops_what_its_allow_list_does_not_hold(spark):
+    keep = re.compile(f"[{tx.SANITIZE_KEEP}{tx.SPACES}]")
+    control = re.compile(f"[{tx.CONTROL_CHARS}]")
+    chars = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000] + ["\U0001F600", "\U0010FFFF"]
+    rows = spark.createDataFrame([(i, f"a{c}b") for i, c in enumerate(chars)], "i int, t string").repartition(4)
+    got = dict(rows.select("i", tx.sanitize("t")).collect())
+
+    def plain(c):
+        c = control.sub(" ", c)
+        return f"a{c}b" if keep.match(c) else "ab"
+
+    assert [got[i] for i in range(len(chars))] == [plain(c) for c in chars]
+    ends = spark.createDataFrame([(c,) for c in tx.SPACES], "c string")
+    assert {r[0] for r in ends.select(tx.sanitize(F.concat("c", F.lit(" \n x  y"), "c", F.lit("\u3000\r\n")))).collect()} == {"x y"}
+    # no ASCII character is looked up in the long list
+    plan = ends.select(tx.sanitize("c"))._jdf.queryExecution().toString()
+    assert f"&&[^{tx.SANITIZE_KEEP}" in plan and plan.count(tx.SANITIZE_KEEP) == plan.count(f"&&[^{tx.SANITIZE_KEEP}")
+
+
+def test_compact_keeps_syllables_small_letters_and_digits(spark):
+    chars = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000] + ["\U0001F600", "\U0010FFFF"]
+    rows = spark.createDataFrame([(i, f"A{c}b") for i, c in enumerate(chars)], "i int, t string").repartition(4)
+    for i, low, got in rows.select("i", F.lower("t"), tx.compact("t")).collect():
+        assert got == re.sub("[^가-힣a-z0-9]", "", low), hex(ord(chars[i]))
+    plan = rows.select(tx.compact("t"))._jdf.queryExecution().toString()
+    assert plan.count("[^가-힣") == plan.count("&&[^가-힣")
