@@ -619,6 +619,56 @@ def test_scores_mix_spelling_and_share(spark, wide, monkeypatch, head):
     assert lmscore.score(wide.where("doc_id = 7"), other).first()["score"] < known
 
 
+@pytest.mark.parametrize("arcs", [lmscore.HEAD_ARCS, 40, 0])
+def test_rare_contexts_keep_their_arcs(spark, monkeypatch, arcs):
+    """Only contexts with a hundredth of all symbols are states in memory; scores are those of
+    all counted runs all the same, of texts that were not learned too."""
+    monkeypatch.setattr(lmscore, "HEAD_ARCS", arcs)
+    rng = np.random.default_rng(5)
+    parts = ["ab", "tion", "th", "e", "qu", "on", "\u00e9", "z9", "str"]
+    words = ["".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 25))) for _ in range(30)]
+    texts += [None, "x" * 30, "the xylophone zzz \u4e00\u4e01 aba~", texts[3]]
+    schema = "doc_id bigint, text string"
+    train = spark.createDataFrame(list(enumerate(texts[:20])), schema)
+    docs = spark.createDataFrame(list(enumerate(texts)), schema)
+    model = lmscore.learn(train, least_share=1e-2)
+    assert 64 ** 2 < model.automaton.states < 64 ** 2 + 300
+    # at a count the arcs are all taken or none, so a small head may stay empty
+    assert len(model.near[0]) <= arcs and (arcs < 1000 or len(model.near[0]) > 100)
+    lists = [lmscore.split([(t or "").encode()])[0] for t in texts]
+    runs = [lmscore.Stream([t], model.automaton.key).symbols.tolist() for t in lists]
+    grams, context, kinds = Counter(), Counter(), Counter()
+    for s in runs[:20]:
+        for j in range(5, len(s)):
+            grams.update(tuple(s[j - k:j + 1]) for k in range(6))
+    for g, n in grams.items():
+        context[g[:-1]] += n
+        kinds[g[:-1]] += 1
+
+    def p(history, symbol):
+        if not history:
+            return (grams[(symbol,)] + 0.5) / (context[()] + 0.5 * 64)
+        low = p(history[1:], symbol)
+        n, k = context[history], kinds[history]
+        return (grams[(*history, symbol)] + k * low) / (n + k) if n else low
+
+    counts = Counter(w for t in lists[:20] for w in [*t, b""])
+    total = sum(counts.values())
+    want = {}
+    for i, (s, t) in enumerate(zip(runs, lists, strict=True)):
+        want[i], j = 0.0, 5
+        for w in [*t, b""]:
+            own = 1.0
+            for b in w + b" " if w else b"\0":
+                own *= p(tuple(s[j - 5:j]), s[j]) * (10 ** model.automaton.inner[b] if s[j] == 63 else 1)
+                j += 1
+            want[i] += math.log10((1 - lmscore.WORD_WEIGHT) * own + lmscore.WORD_WEIGHT * counts[w] / total)
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(docs, model).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i] - want[i]) < 1e-5 * (1 + abs(want[i])) for i in want), (got, want)
+
+
 def test_held_out_scores_beat_the_base(spark):
     got = run(spark, "op9_backoff_scores", "/root/testdata/sf0.1")
     assert got[got.held_out].score.sum() > got[got.held_out].base_score.sum()

@@ -70,16 +70,20 @@ def count_sparse_marks(symbols: np.ndarray, start: np.ndarray, length: np.ndarra
     return marks
 
 
-def weights(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, arcs: np.ndarray, warm: int) -> np.ndarray:
+def weights(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, arcs: np.ndarray, warm: int,
+            deep: int) -> tuple[np.ndarray, np.ndarray]:
     """The weight of the arc each symbol takes along its lane, from state 0; zero outside
     lanes. The first `warm` symbols of a lane move the state and do not count. Entry
-    [row + symbol] of `arcs` holds the next row and the weight."""
+    [row + symbol] of `arcs` holds the next row and the weight. Also whether the arc
+    leaves from a row before `deep`."""
     out = np.zeros(len(symbols))
+    early = np.zeros(len(symbols), bool)
     at = np.zeros(len(start), np.int64)
     for step, n in enumerate(active(length)):
         here = start[:n] + step
         got = arcs[at[:n] + symbols[here]]
         if step >= warm:
             out[here] = got["weight"]
+            early[here] = at[:n] < deep
         at[:n] = got["next"]
-    return out
+    return out, early
