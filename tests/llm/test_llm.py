@@ -305,6 +305,15 @@ def test_links_by_brute_force(spark):
         assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_variants_are_not_broadcast(spark, tmp_path):
+    """Their size is taken for that of the fingerprints, of which there are 64 times fewer."""
+    spark.range(2000).selectExpr("xxhash64(id) as f").write.parquet(f"{tmp_path}/f")
+    found = simhash.links(spark.read.parquet(f"{tmp_path}/f"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_keep_one(spark, wide):
     left = simhash.keep_one(wide)
     assert left.columns == wide.columns

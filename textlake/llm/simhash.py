@@ -77,9 +77,11 @@ def variants(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints at most `distance` bits apart, each
     once. The join is on equal variants; distance and first shared variant are tested
-    inside the join, so it gives out links only, never candidates."""
+    inside the join, so it gives out links only, never candidates. Spark takes the variants
+    for as small as the fingerprints and would broadcast them, 64 rows for each, so the
+    merge is asked for."""
     one = variants(prints, distance)
-    left = one.withColumnRenamed("f", "a").alias("l")
+    left = one.withColumnRenamed("f", "a").alias("l").hint("merge")
     right = one.withColumnRenamed("f", "b").alias("r")
     x = F.col("a").bitwiseXOR(F.col("b"))
     first = F.lit(False)
